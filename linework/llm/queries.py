@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, line_dedup, quality, secret_scan, token_counts, url_filter
+from . import bpe_codec, decontaminate, line_dedup, near_dedup, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -47,7 +51,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_quality_rules, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_quality_rules, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
