@@ -58,8 +58,14 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
