@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, research
 
 
 def queries() -> dict:
-    return dict(market.QUERIES)
+    return market.QUERIES | research.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(market.ORACLES)
+    return market.ORACLES | research.ORACLES
