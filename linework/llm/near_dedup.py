@@ -28,7 +28,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .common import checkpoint
 
-K, LEAST, SKETCHES, SMALL = 5, 5, 20, 16
+K, LEAST, SKETCHES = 5, 5, 20
+#: Texts of a bucket of which all pairs are verified; sketches that are taken first.
+SMALL, FIRST = 16, 4
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
 MEMO = 500_000
@@ -174,25 +176,23 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of each id in ``edges`` (a, b): root is the least id of its component.
+    """(id, root) of each id in ``edges`` (a, b) but the roots: root is the least id of its component.
 
-    Large-star and small-star steps in turn, until the edges do not change; each round is cut by
-    a checkpoint, and no component is ever in one place.
+    Large-star and small-star steps in turn, until every component is a star around its least id;
+    each round is cut by a checkpoint, and no component is ever in one place.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+        if ends.filter("up > 1 or (up = 1 and n > 1)").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "u", "m")
-        edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        edges = checkpoint(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -211,16 +211,32 @@ def with_root(rows: DataFrame, roots: DataFrame, column: str, name: str) -> Data
     return rows.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), F.col(column) == F.col("_id"), "left").withColumn(name, F.coalesce("_root", column)).drop("_id", "_root")
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): all of a small bucket, and each text of a larger one with its leader."""
+    small, large = members.filter(F.col("n") <= SMALL), members.filter((F.col("n") > SMALL) & (F.col("id") != F.col("leader")))
+    other = small.select("no", "key", F.col("id").alias("other"))
+    pairs = small.join(other, ["no", "key"]).filter("id < other").select(*_pair(F.col("id"), F.col("other")))
+    return pairs.unionByName(large.select(*_pair(F.col("id"), F.col("leader")))).distinct()
+
+
 def groups_of(distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(id, root) of the texts of ``distinct`` (id, keys) that are alike; ``docs`` is (id, text)."""
+    """(id, root) of the texts of ``distinct`` (id, keys) that are alike; ``docs`` is (id, text).
+
+    The first few sketches are taken first; of the pairs of all others, and of later rounds, only
+    those that are not in one group by then are verified, as no other can change a group.
+    """
     members = checkpoint(bucket_members(distinct))
-    small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL).select("no", "key", "id", "leader")
-    other = small.select("no", "key", F.col("id").alias("other"))
-    all_pairs = small.join(other, ["no", "key"]).filter("id < other").select(*_pair(F.col("id"), F.col("other")))
-    pairs = checkpoint(all_pairs.unionByName(large.filter("id <> leader").select(*_pair(F.col("id"), F.col("leader")))).distinct())
     texts = checkpoint(docs.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
-    edges = checkpoint(verify(pairs, texts, similarity))
+    edges = checkpoint(verify(candidates(members.filter(F.col("no") < FIRST)), texts, similarity))
     roots = components(edges)
+
+    def widened(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        apart = with_root(with_root(pairs, roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b").select("a", "b")
+        more = checkpoint(edges.unionByName(verify(apart, texts, similarity)))
+        return more, components(more)
+
+    edges, roots = widened(candidates(members.filter(F.col("no") >= FIRST)))
+    large = members.filter(F.col("n") > SMALL).select("no", "key", "id", "leader")
     heads, number = large.select("no", "key", F.col("leader").alias("head")).distinct(), 1
     while True:
         # Texts that are in the group of no head of their bucket yet.
@@ -228,15 +244,11 @@ def groups_of(distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFr
         open_ = checkpoint(with_root(large.select("no", "key", "id"), roots, "id", "root").join(led, ["no", "key", "root"], "left_anti"))
         if open_.isEmpty():
             return roots
-        number *= 4
+        number *= 8
         left = open_.groupBy("no", "key").agg(F.count(F.lit(1)).alias("left"), F.min("id").alias("first"))
         chosen = checkpoint(open_.join(left, ["no", "key"]).filter((F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "no"), "left") < number)).select("no", "key", F.col("id").alias("head")))
         heads = checkpoint(heads.unionByName(chosen))
-        more = open_.join(chosen, ["no", "key"]).filter("id <> head").select(*_pair(F.col("id"), F.col("head"))).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = checkpoint(more)
-        pairs = checkpoint(pairs.unionByName(more))
-        edges = checkpoint(edges.unionByName(verify(more, texts, similarity)))
-        roots = components(edges)
+        edges, roots = widened(open_.join(chosen, ["no", "key"]).filter("id <> head").select(*_pair(F.col("id"), F.col("head"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
