@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market, research
+from . import market, research, serving
 
 
 def queries() -> dict:
-    return market.QUERIES | research.QUERIES
+    return market.QUERIES | research.QUERIES | serving.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.ORACLES | research.ORACLES
+    return market.ORACLES | research.ORACLES | serving.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_BLOCKS = {}
+_BLOCKS: dict[str, str] = {}
 
 
 def _block(name: str, sql: str) -> None:
@@ -154,6 +154,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(select: str) -> str:
     """A DuckDB statement: the views that ``select`` names, as common table expressions, before it."""
     used = [f"{name} AS ({text})" for name, text in _BLOCKS.items() if name in select]
-    head = "WITH " + ", ".join(used)
     select = select.strip()
+    if not used:
+        return select
+    head = "WITH " + ", ".join(used)
     return f"{head}, {select[5:]}" if select.upper().startswith("WITH ") else f"{head} {select}"
