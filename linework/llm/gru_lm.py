@@ -28,8 +28,8 @@ from .common import checkpoint, fold
 HIDDEN, CLASSES, PER = 16, 32, 32
 VOCABULARY = CLASSES * PER
 #: Steps of a window; documents in a training step and in a scoring step.
-STEPS, TRAIN_DOCS, SCORE_DOCS = 16, 256, 2048
-RATE, CLIP = 0.05, 5.0
+STEPS, TRAIN_DOCS, SCORE_DOCS = 16, 1024, 2048
+RATE, CLIP = 0.15, 5.0
 #: Most frequent words whose counts go to every task; the counts of the others are joined.
 HOT = 200_000
 #: Distinct words that a task gathers before it sends them on.
@@ -93,12 +93,19 @@ class Words:
 
 
 def gather_words(counts: DataFrame) -> Words:
-    """The hot words, END always among them (it has a count for each document)."""
+    """The hot words: as many of the most frequent as fit in ``HOT``, and END (with a count for each document).
+
+    The count from which a word is hot comes from a histogram of counts in steps of 1/16 octave,
+    so no task and no driver ever sorts or gathers more words than ``HOT``.
+    """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = counts.orderBy(F.desc("n"), "word").limit(HOT).toPandas()
-    end = counts.filter(F.col("word") == F.lit(END)).toPandas()
-    rows = {bytes(w): int(n) for w, n in zip([*hot["word"], *end["word"]], [*hot["n"], *end["n"]])}
-    return Words(list(rows), np.array(list(rows.values()), np.float64), int(total[0]), int(total[1]))
+    step = F.floor(F.log2("n") * 16).cast("int")
+    hist = counts.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)  # 16 * 64 rows at most
+    fits = hist["step"][hist["count"].cumsum() <= HOT]
+    least = int(fits.min()) if len(fits) else 1 << 20
+    hot = counts.filter((step >= least) | (F.col("word") == F.lit(END))).toPandas()
+    rows = sorted(((-int(n), bytes(w)) for w, n in zip(hot["word"], hot["n"])))
+    return Words([w for _, w in rows], np.array([-n for n, _ in rows], np.float64), int(total[0]), int(total[1]))
 
 
 def start(words: Words, seed: int = 7) -> dict[str, np.ndarray]:
@@ -122,9 +129,19 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return {k: values[a:b].reshape(x.shape).astype(np.float32) for (k, x), a, b in zip(like.items(), edges, edges[1:])}
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log of each target's probability, and what all probabilities are once divided by the sums."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[at, target]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    return picked - np.log(sums), x, sums
+
+
+def _error(e: np.ndarray, sums: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+    e /= sums[:, None]
+    e[at, target] -= 1
+    return e
 
 
 class Batch:
@@ -170,28 +187,32 @@ def outputs(w: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, gr
     """Natural log of each target's probability; with ``grads``, also the gradient at the states."""
     owner, within = target // PER, target % PER
     at = np.arange(len(target))
-    classes = _log_softmax(states @ w["class_w"] + w["class_b"])
-    out, back = classes[at, owner], None
+    out, e, sums = _softmax(states @ w["class_w"] + w["class_b"], at, owner)
+    back = None
     if grads is not None:
-        d = np.exp(classes)
-        d[at, owner] -= 1
+        d = _error(e, sums, at, owner)
         grads["class_w"] += states.T @ d
         grads["class_b"] += d.sum(0)
         back = d @ w["class_w"].T
+    # The words of a class together, so that each class is one product.
     order = np.argsort(owner, kind="stable")
+    states, within = states[order], within[order]
     edges = np.searchsorted(owner[order], np.arange(CLASSES + 1))
+    inner = np.empty(len(target), np.float32)
+    inner_back = np.empty_like(states) if grads is not None else None
     for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
-            s, i = states[rows], np.arange(len(rows))
-            words = _log_softmax(s @ w["word_w"][c] + w["word_b"][c])
-            out[rows] += words[i, within[rows]]
+        a, b = edges[c], edges[c + 1]
+        if a < b:
+            s, i = states[a:b], at[: b - a]
+            inner[a:b], e, sums = _softmax(s @ w["word_w"][c] + w["word_b"][c], i, within[a:b])
             if grads is not None:
-                d = np.exp(words)
-                d[i, within[rows]] -= 1
+                d = _error(e, sums, i, within[a:b])
                 grads["word_w"][c] += s.T @ d
                 grads["word_b"][c] += d.sum(0)
-                back[rows] += d @ w["word_w"][c].T
+                np.matmul(d, w["word_w"][c].T, out=inner_back[a:b])
+    out[order] += inner
+    if grads is not None:
+        back[order] += inner_back
     return out, back
 
 
