@@ -198,7 +198,7 @@ def outputs(w: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, gr
     order = np.argsort(owner, kind="stable")
     states, within = states[order], within[order]
     edges = np.searchsorted(owner[order], np.arange(CLASSES + 1))
-    inner = np.empty(len(target), np.float32)
+    inner = np.empty_like(out)
     inner_back = np.empty_like(states) if grads is not None else None
     for c in range(CLASSES):
         a, b = edges[c], edges[c + 1]
