@@ -9,10 +9,10 @@ aligning its k-mers within a band as wide as the threshold allows. Verified pair
 groups by connected components.
 
 Exact copies (of the words in lower case) are one text from the start. In a bucket of at most
-``SMALL`` texts all pairs are verified. In a larger one every text is verified against leaders:
-first the earliest, then, in rounds, ever more of those texts that no leader has joined to its
-group, until none is left; so neither a large group of copies nor a common passage makes all
-pairs, and no text of a bucket goes unverified.
+``SMALL`` texts all pairs are verified. In a larger one every text is first verified against the
+earliest; those that this does not bring into its group are then held against all texts of the
+bucket, in blocks. So neither a large group of copies nor a common passage makes rows of pairs,
+and no pair that could still join two groups goes unverified.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import checkpoint
 K, LEAST, SKETCHES = 5, 5, 20
 #: Texts of a bucket of which all pairs are verified; sketches that are taken first.
 SMALL, FIRST = 16, 4
+#: Texts of a block, in expectation.
+BLOCK = 256
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
 MEMO = 500_000
@@ -222,8 +224,8 @@ def candidates(members: DataFrame) -> DataFrame:
 def groups_of(distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(id, root) of the texts of ``distinct`` (id, keys) that are alike; ``docs`` is (id, text).
 
-    The first few sketches are taken first; of the pairs of all others, and of later rounds, only
-    those that are not in one group by then are verified, as no other can change a group.
+    The first few sketches are taken first; of the pairs of all others only those that are not in
+    one group by then are verified, as no other can change a group.
     """
     members = checkpoint(bucket_members(distinct))
     texts = checkpoint(docs.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
@@ -236,19 +238,71 @@ def groups_of(distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFr
         return more, components(more)
 
     edges, roots = widened(candidates(members.filter(F.col("no") >= FIRST)))
-    large = members.filter(F.col("n") > SMALL).select("no", "key", "id", "leader")
-    heads, number = large.select("no", "key", F.col("leader").alias("head")).distinct(), 1
-    while True:
-        # Texts that are in the group of no head of their bucket yet.
-        led = with_root(heads, roots, "head", "root").select("no", "key", "root").distinct()
-        open_ = checkpoint(with_root(large.select("no", "key", "id"), roots, "id", "root").join(led, ["no", "key", "root"], "left_anti"))
-        if open_.isEmpty():
-            return roots
-        number *= 8
-        left = open_.groupBy("no", "key").agg(F.count(F.lit(1)).alias("left"), F.min("id").alias("first"))
-        chosen = checkpoint(open_.join(left, ["no", "key"]).filter((F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", "no"), "left") < number)).select("no", "key", F.col("id").alias("head")))
-        heads = checkpoint(heads.unionByName(chosen))
-        edges, roots = widened(open_.join(chosen, ["no", "key"]).filter("id <> head").select(*_pair(F.col("id"), F.col("head"))).distinct())
+    large = with_root(members.filter(F.col("n") > SMALL).select("no", "key", "id", "leader"), roots, "id", "root")
+    open_ = checkpoint(with_root(large, roots, "leader", "led").filter("root <> led"))
+    if open_.isEmpty():
+        return roots
+    return components(edges.unionByName(block_edges(open_, large, texts, similarity)))
+
+
+def block_edges(open_: DataFrame, large: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Verified pairs (a, b) of texts that are not in the group of their bucket's leader, against all of those buckets.
+
+    Buckets that share such texts are taken together. The open texts are the query set; they and
+    the members are dealt into blocks of about ``BLOCK``, and a task takes one block of each. So
+    no row stands for a pair, a task holds two blocks at most, and nothing is left out.
+    """
+    heads = open_.groupBy("no", "key").agg(F.min("id").alias("head"))
+    roots = components(open_.join(heads, ["no", "key"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    comps = checkpoint(with_root(heads, roots, "head", "comp").select("no", "key", "comp"))
+    queries = open_.join(comps, ["no", "key"]).select("comp", "id", "root").distinct()
+    against = large.join(comps, ["no", "key"]).select("comp", "id", "root").distinct()
+    blocks = lambda df, name: df.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = checkpoint(blocks(queries, "nq").join(blocks(against, "nm"), "comp"))
+    deal = lambda df, own, other, i, j, side: (
+        df.join(sizes, "comp").withColumn(i, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .select("comp", "i", "j", "id", "root", F.lit(side).alias("side"))
+    )
+    dealt = deal(queries, "nq", "nm", "i", "j", 0).unionByName(deal(against, "nm", "nq", "j", "i", 1)).join(texts, "id")
+
+    def alike(block):
+        import pandas as pd
+
+        runs = [kmers(words(t)) for t in block["text"]]
+        marked = [labelled(r) if len(r) else r for r in runs]
+        ids, roots_, side = block["id"].tolist(), block["root"].tolist(), block["side"].to_numpy()
+        q, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        shared = intersections([marked[k] for k in q], [marked[k] for k in m])
+        sizes_q, sizes_m = np.array([len(marked[k]) for k in q]), np.array([len(marked[k]) for k in m])
+        # No alignment has more matches than the k-mers that both hold.
+        bound = shared >= similarity * (sizes_q[:, None] + sizes_m[None, :] - shared) - 1e-6
+        out = []
+        for x, y in zip(*np.nonzero(bound)):
+            a, b = q[x], m[y]
+            if roots_[a] != roots_[b] and aligned(runs[a].tolist(), runs[b].tolist(), similarity) >= similarity:
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return checkpoint(dealt.groupBy("comp", "i", "j").applyInPandas(alike, f"a {kind}, b {kind}"))
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Number of labelled k-mers that each of ``left`` shares with each of ``right``: products of
+    0/1 matrices, ``width`` k-mers at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    _, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(r) for r in (*left, *right)])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, [start, start + width])
+        some = np.zeros((len(left) + len(right), width), np.float32)
+        some[owner[a:b], place[a:b] - start] = 1
+        out += some[: len(left)] @ some[len(left) :].T
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
