@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of characters: end, 26 letters (case folded), one for all digits, punctuation, and one for the rest.
-LETTERS = "\0abcdefghijklmnopqrstuvwxyz0-._~:/?#[]@!$&'()*+,;=%"
+#: Kinds of characters: end, 26 letters (case folded), one for all digits, the commonest punctuation, and one for the rest.
+LETTERS = "\0abcdefghijklmnopqrstuvwxyz0-._~:/?#&=%+"
 KINDS = len(LETTERS) + 1
 #: Characters of context at most. The tables of a model have KINDS ** (ORDER + 1) cells, whatever the input.
 ORDER = 3
