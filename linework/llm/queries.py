@@ -68,5 +68,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
 
 
+#: The twin of ``op7_line_dedup``.
+LINES = r"""
+WITH u AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+s AS (SELECT *, CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u),
+n AS (SELECT *, lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM s WHERE len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= 8),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rn FROM n) WHERE rn > 1),
+g AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(length(unit)) AS BIGINT) AS removed_chars, string_agg(concat(start, ':', start + length(unit)), ',' ORDER BY start) AS removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINES}

@@ -194,6 +194,28 @@ def test_repeated_lines(spark, docs):
     assert {k: r.removed for k, r in run(spark, "op7_line_dedup").items()} == want
 
 
+def test_line_dedup_equals_its_sql_twin(spark):
+    from tests import twins
+
+    for sf in (SF, "/root/testdata/sf0.01"):
+        twins.same(spark, twins.duck(sf), sf, queries.op7_line_dedup, queries.oracle_sql()["op7_line_dedup"])
+
+
+def test_lines_judged(spark):
+    from pyspark.sql import functions as F
+
+    from linework.llm.quality import line_fails, quality
+
+    bad = ["!!! ??? ...", "WORD!! OTHER!! THIRD!! AND!!", "a | b | c | d", "home | menu | login", "All rights reserved.", "same same same same same same same"]
+    good = ["A plain line of text.", "", "x", "Really? Yes! And more words follow here.", "The price is 5% of it and the words go on and on.", "No, no, no, he said."]
+    rows = spark.createDataFrame([(x,) for x in bad + good], "t string").select("t", line_fails(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in rows} == {t: t in bad for t in bad + good}
+    text = "One two three four five six seven eight nine ten eleven words."
+    docs = spark.createDataFrame([(1, text + "\n" + bad[1]), (2, text + "\n" + "NO!! " * 40), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.clean_text) for r in quality(docs, with_text=True).collect()}
+    assert got[1] == (True, text) and not got[2][0] and got[3] == (True, text)
+
+
 def test_quality_counts(spark, docs):
     for k, r in run(spark, "op8_quality_rules").items():
         text = docs[k].text or ""
