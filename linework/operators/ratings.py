@@ -101,5 +101,5 @@ def matchups(games: DataFrame, ratings: DataFrame) -> DataFrame:
     side = lambda who: wide.select("season", "week", F.col("team").alias(f"{who}_team"), *[F.col(c).alias(f"{who}_{c}") for c in wide.columns[3:]])
     met = games.join(side("home"), ["season", "week", "home_team"], "left").join(side("away"), ["season", "week", "away_team"], "left")
     for c in classes:
-        met = met.withColumn(f"home_edge_{c}", F.col(f"home_off_{c}") + F.col(f"away_def_{c}")).withColumn(f"away_edge_{c}", F.col(f"away_off_{c}") + F.col(f"home_def_{c}"))
+        met = met.withColumn(f"home_edge_{c}", F.col(f"home_off_{c}") - F.col(f"away_def_{c}")).withColumn(f"away_edge_{c}", F.col(f"away_off_{c}") - F.col(f"home_def_{c}"))
     return met.withColumn("net_edge", F.col("home_edge_all") - F.col("away_edge_all")).withColumn("confident", F.coalesce((F.col("home_sure") == 1) & (F.col("away_sure") == 1), F.lit(False)))

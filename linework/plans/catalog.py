@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market, research, serving
+from . import board, market, research, serving
 
 
 def queries() -> dict:
-    return market.QUERIES | research.QUERIES | serving.QUERIES
+    return market.QUERIES | research.QUERIES | serving.QUERIES | board.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.ORACLES | research.ORACLES | serving.ORACLES
+    return market.ORACLES | research.ORACLES | serving.ORACLES | board.ORACLES

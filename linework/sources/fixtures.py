@@ -130,6 +130,17 @@ FROM events
 )
 
 
+_block(
+    "fx_bets",
+    """
+SELECT o_orderkey AS bet_id, concat('u', CAST(o_custkey % 50 AS VARCHAR(4))) AS user_id, o_orderkey AS pick_id,
+  CASE WHEN o_custkey % 2 = 0 THEN CAST(95 + o_custkey % 150 AS INT) ELSE -CAST(105 + o_custkey % 150 AS INT) END AS price,
+  1.0 + 0.5 * CAST(o_custkey % 3 AS DOUBLE) AS stake
+FROM orders WHERE o_custkey % 4 = 1
+""",
+)
+
+
 def names() -> list[str]:
     return list(_BLOCKS)
 
