@@ -17,18 +17,21 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .token_counts import MEMO, SPACE, Memo, byte_letters
+from .token_counts import SPACE, Memo, byte_letters
 
 #: The split pattern of the word tokenizer; only what it matches is kept.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Symbols in a leaf of the tree; words of up to so many are merged directly.
 LEAF = 48
+#: Words, and stretches between blanks, whose ids a worker remembers.
+MEMO = 250_000
 END = "</w>"
 
 
@@ -63,7 +66,7 @@ class Codec:
         self.end = model["end_of_word_suffix"] or ""
         self.letters = byte_letters()
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in made["added_tokens"]) + ")")
-        self.words, self.parts = Memo(self._word), Memo(self._part)
+        self.words, self.parts = Memo(self._word, MEMO), Memo(self._part, MEMO)
         self.leaves: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def tree(self, symbols: list[str]) -> list[str]:
@@ -139,7 +142,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts):
         own = codec(tokenizer)
-        return texts.map(lambda t: own.encode(t or ""))
+        return texts.map(lambda t: np.array(own.encode(t), np.int32))
 
     return docs.withColumn(ids_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -149,7 +152,7 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col
     @F.pandas_udf(StringType())
     def text(arrays):
         own = codec(tokenizer)
-        return arrays.map(lambda a: own.decode([] if a is None else [int(i) for i in a]))
+        return arrays.map(lambda a: own.decode([] if a is None else a.tolist()))
 
     return encoded.withColumn(text_col, text(F.col(ids_col)))
 

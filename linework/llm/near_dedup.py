@@ -35,7 +35,7 @@ SMALL, FIRST = 16, 4
 BLOCK = 256
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
-MEMO = 500_000
+MEMO = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,10 +150,12 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [words(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([xxhash.xxh3_128_digest(" ".join(w)) for w in own], pa.binary()), pa.array([sketches(w) for w in own], pa.list_(pa.int64())),
-            ], out.names)
+            hashes, keys = [], []
+            for text in batch.column(1):  # the words of one text at a time
+                own = words(text.as_py())
+                hashes.append(xxhash.xxh3_128_digest(" ".join(own)))
+                keys.append(np.array(sketches(own), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], out.names)
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, out)
 
@@ -166,7 +168,8 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         last, runs = None, []
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.as_py(), y.as_py()
                 if x != last:
                     last, runs = x, kmers(words(x)).tolist()
                 if aligned(runs, kmers(words(y)).tolist(), similarity) >= similarity:

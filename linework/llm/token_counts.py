@@ -30,7 +30,7 @@ SAFE = regex.compile(rf"(?<=[^{SPACE}]) (?=\p{{L}})")
 #: Texts longer than this are split in pieces at safe places to bound the list of words.
 PIECE = 1 << 20
 #: Words remembered in a worker; then the memo starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: White space before a blank.
 RUNS = [chr(c) + " " for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -87,12 +87,12 @@ class Merges:
 class Memo(dict):
     """Remembers what ``find`` gave for short keys; starts anew when full."""
 
-    def __init__(self, find: Callable[[str], object]):
+    def __init__(self, find: Callable[[str], object], most: int = MEMO):
         super().__init__()
-        self.find = find
+        self.find, self.most = find, most
 
     def __missing__(self, key: str):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.clear()
         found = self.find(key)
         if len(key) <= 64:
