@@ -108,10 +108,10 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, *, text_col: str = "te
         ledger.withColumn("_rank", rank).filter(F.col("_rank").isNotNull() & (F.size("spans") > 0))
         .select("blob", F.explode("spans").alias("s"), "_rank", "kind")
         .groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("s.start", F.col("_rank").alias("rank"), "s.end", "kind"))).alias("_found"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        .withColumnRenamed("blob", "_blob").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     )
-    salted = paths.withColumn("blob", content_address(F.col(text_col))).withColumn("_salt", F.floor(F.rand(7) * SALT).cast("int"))
-    return salted.join(hits, ["blob", "_salt"], "left").drop("_salt", "blob")
+    salted = paths.withColumn("_blob", content_address(F.col(text_col))).withColumn("_salt", F.floor(F.rand(7) * SALT).cast("int"))
+    return salted.join(hits, ["_blob", "_salt"], "left").drop("_salt", "_blob")
 
 
 def joined(found: Column) -> Column:

@@ -95,6 +95,13 @@ def test_secrets_mask_and_keep_rows(spark):
     assert got == {(1, 'say [SECRET]" now'), (2, None), (3, "[SECRET] x"), (3, "clean")}
 
 
+def test_masking_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x AKIA" + "B" * 16, "b", "k", 5)], "doc_id long, text string, blob string, kind string, start int")
+    assert secret_scan.redact(df).collect() == [(1, "x [SECRET]", "b", "k", 5)]
+    assert near_dedup.one_of_each(df.withColumnsRenamed({"kind": "id", "start": "hash"})).columns == ["doc_id", "text", "blob", "id", "hash"]
+    assert language_id.predict(df.withColumnRenamed("kind", "lang"), language_id.Model(None)).columns == ["doc_id", "text", "blob", "lang", "start", "lang_pred", "lang_score"]
+
+
 def test_ledger_scans_only_what_is_new(spark):
     old = spark.createDataFrame([("secret: abcdefg",), ("plain",)], "text string")
     ledger = secret_scan.scan_blobs(old)
