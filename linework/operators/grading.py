@@ -89,3 +89,22 @@ def open_exposure(bets: DataFrame, live: DataFrame) -> DataFrame:
     label = F.when(standing == "win", "winning").when(standing == "loss", "losing").when(standing == "push", "level").otherwise("open")
     day = F.from_utc_timestamp(F.col("kickoff_utc"), "America/New_York").cast("date")
     return rows.groupBy(day.alias("day"), label.alias("standing")).agg(F.count(F.lit(1)).alias("bets"), F.sum("stake").alias("units"))
+
+
+def grade_counts(graded: DataFrame) -> DataFrame:
+    return graded.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+
+
+def closing_value_by(closed: DataFrame, *by: str) -> DataFrame:
+    """Mean closing-line value and share of picks that beat the close, by columns."""
+    has = closed.filter("clv_pct is not null")
+    return has.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("clv_pct").alias("avg_clv_pct"), F.avg((F.col("clv_pct") > 0).cast("double")).alias("beat_close"))
+
+
+def next_blend_weight(closed: DataFrame, weights: DataFrame, *, step: float = 0.02, least: int = 30, most: float = 0.6) -> DataFrame:
+    """(market_type, weight, n): a step up where picks beat the close on average, two down where not;
+    unchanged under ``least`` picks, never outside [0, most]."""
+    value = closing_value_by(closed, "market_type")
+    met = weights.join(value, "market_type", "left")
+    moved = F.when(F.coalesce("n", F.lit(0)) < least, F.col("weight")).when(F.col("avg_clv_pct") > 0, F.col("weight") + step).otherwise(F.col("weight") - 2 * step)
+    return met.select("market_type", F.greatest(F.lit(0.0), F.least(F.lit(most), moved)).alias("weight"), F.coalesce("n", F.lit(0)).alias("n"))

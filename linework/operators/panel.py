@@ -115,3 +115,20 @@ def team_game_context(games: DataFrame) -> DataFrame:
 def kickoff_slot(kickoff: Column) -> Column:
     h = F.hour(kickoff)
     return F.when(kickoff.isNull(), None).when(h < 19, "early").when(h < 23, "late").otherwise("primetime")
+
+
+def report_panel(reports: DataFrame, usage: DataFrame) -> DataFrame:
+    """The final report of each player-week with form before it and whether the player was active.
+
+    Only seasons with any usage count: there a missing usage row means inactive, elsewhere nothing.
+    """
+    final = latest_reports(reports.filter(regular_season(F.col("season_type"))), "player_id", "season", "week")
+    known = final.join(F.broadcast(usage.select("season").distinct()), "season", "left_semi")
+    form = prior_snap_share(known, usage).join(usage.select("player_id", "season", "week", "snap_pct"), ["player_id", "season", "week"], "left")
+    return form.withColumn("active", F.col("snap_pct").isNotNull().cast("int"))
+
+
+def resolve_by_unique_name(reports: DataFrame, players: DataFrame, name_key: str = "name_key") -> DataFrame:
+    """Null player ids filled from names that belong to exactly one id."""
+    unique = players.groupBy(name_key).agg(F.min("player_id").alias("_id"), F.max("player_id").alias("_max")).filter(F.col("_id") == F.col("_max"))
+    return reports.join(unique.select(name_key, "_id"), name_key, "left").withColumn("player_id", F.coalesce("player_id", "_id")).drop("_id")

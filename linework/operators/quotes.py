@@ -76,3 +76,8 @@ def book_latency(changes: DataFrame) -> DataFrame:
     lead = first.groupBy(*key).agg(F.min("at").alias("lead_at"))
     lag = F.col("at").cast("timestamp").cast("long") - F.col("lead_at").cast("timestamp").cast("long")
     return first.join(lead, key).groupBy("book").agg(F.count(F.lit(1)).alias("n_markets"), F.sum((lag == 0).cast("int")).alias("n_first"), F.avg(lag).alias("mean_lag_s"))
+
+
+def active_moves(changes: DataFrame, current: DataFrame) -> DataFrame:
+    """Changes of books that quote the market now."""
+    return changes.join(current.select(*MARKET, "book").distinct(), [*MARKET, "book"], "left_semi")

@@ -266,3 +266,34 @@ def closing_lines(spark: SparkSession, d: str) -> DataFrame:
 def open_exposure(spark: SparkSession, d: str) -> DataFrame:
     live = view(spark, d, "fx_games").select("game_id", "kickoff_utc", "home_score", "away_score")
     return grading.open_exposure(view(spark, d, "fx_picks"), live).select("day", "standing", "bets", r("units", 4))
+
+
+@query(f"WITH {GRADED} SELECT result, count(*) AS n FROM graded GROUP BY result")
+def grade_counts(spark: SparkSession, d: str) -> DataFrame:
+    return grading.grade_counts(_graded(spark, d))
+
+
+@query(f"WITH {CURRENT}, {CHANGES} SELECT seq, game_id, market_type, side, book FROM chg c WHERE EXISTS (SELECT 1 FROM cur u WHERE u.game_id = c.game_id AND u.market_type = c.market_type AND u.book = c.book AND u.observed_at >= TIMESTAMP '1998-07-01')")
+def active_moves(spark: SparkSession, d: str) -> DataFrame:
+    now = _current(spark, d).filter("observed_at >= timestamp '1998-07-01'")
+    return quotes.active_moves(quotes.price_changes(view(spark, d, "fx_quote_obs")), now).select("seq", "game_id", "market_type", "side", "book")
+
+
+CLOSED = f"""last AS (SELECT game_id, market_type, side, book, arg_max(price, observed_at::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS price FROM fx_quote_obs JOIN fx_games g USING (game_id) WHERE observed_at <= g.kickoff_utc GROUP BY ALL),
+c AS (SELECT game_id, market_type, side, max(price) AS closing_price FROM last GROUP BY ALL),
+clv AS (SELECT *, (({DECIMAL.format('price')}) / ({DECIMAL.format('closing_price')}) - 1.0) * 100.0 AS clv_pct FROM fx_picks JOIN c USING (game_id, market_type, side))"""
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    return grading.closing_lines(view(spark, d, "fx_picks"), view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"))
+
+
+@query(f"WITH {CLOSED} SELECT tier, market_type, count(*) AS n, round(avg(clv_pct), 6) AS avg_clv_pct, round(avg(CASE WHEN clv_pct > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS beat_close FROM clv GROUP BY ALL")
+def closing_value(spark: SparkSession, d: str) -> DataFrame:
+    return grading.closing_value_by(_closed(spark, d), "tier", "market_type").select("tier", "market_type", "n", r("avg_clv_pct"), r("beat_close"))
+
+
+@query(f"WITH {CLOSED}, v AS (SELECT market_type, count(*) AS n, avg(clv_pct) AS a FROM clv GROUP BY 1), w AS (SELECT DISTINCT market_type, 0.1::DOUBLE AS weight FROM fx_picks) SELECT market_type, round(greatest(0.0, least(0.6, CASE WHEN coalesce(n, 0) < 30 THEN weight WHEN a > 0 THEN weight + 0.02 ELSE weight - 0.04 END)), 6) AS weight, coalesce(n, 0) AS n FROM w LEFT JOIN v USING (market_type)")
+def next_blend_weight(spark: SparkSession, d: str) -> DataFrame:
+    weights = view(spark, d, "fx_picks").select("market_type").distinct().withColumn("weight", F.lit(0.1))
+    return grading.next_blend_weight(_closed(spark, d), weights).select("market_type", r("weight"), "n")

@@ -266,3 +266,8 @@ def pit_table(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH k AS (SELECT season, p, row_number() OVER (PARTITION BY season ORDER BY p) AS i, count(*) OVER (PARTITION BY season) AS n FROM fx_forecasts) SELECT season, round(max(abs(i::DOUBLE / n - p)), 6) AS ks_upper, round(max(greatest(abs(i::DOUBLE / n - p), abs((i - 1)::DOUBLE / n - p))), 6) AS ks FROM k GROUP BY season")
 def ks_uniform(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ks_uniform(view(spark, d, "fx_forecasts"), "p", "season").select("season", r("ks_upper"), r("ks"))
+
+
+@query(f"WITH {FINAL.format(chr(39).join(['WHERE season_type IS NULL OR season_type = ', 'REG', '']))}, {SNAPS} SELECT s.report_id, s.player_id, s.week, s.report_status, round(s.prior_snap, 9) AS prior_snap, CASE WHEN u.snap_pct IS NULL THEN 0 ELSE 1 END AS active FROM sn s LEFT JOIN fx_usage u USING (player_id, season, week)")
+def report_panel(spark: SparkSession, d: str) -> DataFrame:
+    return panel.report_panel(view(spark, d, "fx_reports"), view(spark, d, "fx_usage")).select("report_id", "player_id", "week", "report_status", r("prior_snap", 9), "active")

@@ -177,3 +177,10 @@ def residual_cover(spark: SparkSession, d: str) -> DataFrame:
     return metrics.binary_metrics(scored, "y", "p", "season").select("season", "n", r("brier", 4))
 
 
+
+
+@query()
+def practice_two_arm(spark: SparkSession, d: str) -> DataFrame:
+    """What a second feature adds to the first, by season, walking forward."""
+    rows = view(spark, d, "fx_forecasts").withColumn("y", F.col("y").cast("double")).withColumn("extra", F.pmod(F.col("row_id"), F.lit(7)) / 7.0)
+    return models.two_arm(rows.withColumnRenamed("p", "base"), ["extra"], ["base"], "y", least_train=4).select("season", r("auc_base"), r("auc_full"), r("auc_gain"))
