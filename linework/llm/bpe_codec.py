@@ -133,28 +133,43 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``ids``, the whole text as token ids; one pass, no shuffle.
+def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of ``docs`` and ``ids_col``, the whole text as token ids; one pass, no shuffle.
 
     Null and empty texts give an empty array. A column that is already called ``ids_col`` is
     replaced. Repeated rows each give a row.
     """
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts):
+    rows = docs.drop(ids_col)
+    place = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        return texts.map(lambda t: np.array(own.encode(t), np.int32))
+        for part in pieces(batches):
+            ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, ids_col])
 
-    return docs.withColumn(ids_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """All columns and ``text_col``, decoded from ``ids_col``; a null array gives an empty text."""
-    @F.pandas_udf(StringType())
-    def text(arrays):
+    rows = encoded.drop(text_col)
+    place = rows.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        return arrays.map(lambda a: own.decode([] if a is None else a.tolist()))
+        for part in pieces(batches):
+            texts = [own.decode(a or []) for a in part.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))
+
 
-    return encoded.withColumn(text_col, text(F.col(ids_col)))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that a worker never holds the ids of many long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
