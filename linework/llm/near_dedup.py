@@ -8,6 +8,10 @@ them. Texts that agree on a sketch share a bucket and are candidates. A pair is
 aligning its k-mers within a band as wide as the threshold allows. Verified pairs are joined to
 groups by connected components.
 
+Sketches of short texts say little. Texts of up to ``SHORT`` k-mers, and those long enough to be
+alike to one, also share a bucket if one of their least labelled k-mers is the same, as many of
+them as the threshold lets differ and one more: no pair with such a text is missed.
+
 Exact copies (of the words in lower case) are one text from the start. In a bucket of at most
 ``SMALL`` texts all pairs are verified. In a larger one every text is first verified against the
 earliest; those that this does not bring into its group are then held against all texts of the
@@ -17,6 +21,7 @@ and no pair that could still join two groups goes unverified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +34,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .common import checkpoint
 
 K, LEAST, SKETCHES = 5, 5, 20
+#: K-mers up to which candidates are exact.
+SHORT = 15
 #: Texts of a bucket of which all pairs are verified; sketches that are taken first.
 SMALL, FIRST = 16, 4
 #: Texts of a block, in expectation.
@@ -107,6 +114,19 @@ def sketches(own: list[str], k: int = K, least: int = LEAST, number: int = SKETC
     return mix(keys + seeds).view(np.int64).tolist()
 
 
+def prefix_keys(own: list[str], similarity: float) -> list[int]:
+    """The least labelled k-mers of a text that is alike to one of ``SHORT`` at most; none for a longer one.
+
+    Of n k-mers at least ``similarity * n`` are in any text that is alike, so of the n less that
+    many and one least of either, in one order of all k-mers, one is in both.
+    """
+    runs = kmers(own) if len(own) <= SHORT / similarity + K else np.empty(0, np.uint64)
+    if not len(runs) or len(runs) > SHORT / similarity + 1e-9:
+        return []
+    taken = len(runs) - math.ceil(similarity * len(runs) - 1e-9) + 1
+    return np.sort(labelled(runs))[:taken].view(np.int64).tolist()
+
+
 def aligned(a: list[int], b: list[int], similarity: float) -> float:
     """Similarity of two sequences by alignment: matches / (both lengths - matches).
 
@@ -144,8 +164,11 @@ def aligned(a: list[int], b: list[int], similarity: float) -> float:
     return matches / (total - matches)
 
 
-def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, keys) of each row with a word; ``text_hash`` is of the words in lower case."""
+def sketch_table(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, text_hash, keys) of each row with a word; ``text_hash`` is of the words in lower case.
+
+    The first ``SKETCHES`` keys are the sketches, all others prefix keys.
+    """
     out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("hash", BinaryType()), StructField("keys", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +177,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1):  # the words of one text at a time
                 own = words(text.as_py())
                 hashes.append(xxhash.xxh3_128_digest(" ".join(own)))
-                keys.append(np.array(sketches(own), np.int64))
+                keys.append(np.array(sketches(own) + prefix_keys(own, similarity), np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], out.names)
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, out)
@@ -206,7 +229,7 @@ def _pair(x: Column, y: Column) -> list[Column]:
 
 def bucket_members(distinct: DataFrame) -> DataFrame:
     """(no, key, id, n, leader) of each text in a bucket of two or more; ``leader`` has its least id."""
-    entries = distinct.select("id", F.posexplode("keys").alias("no", "key"))
+    entries = distinct.select("id", F.posexplode("keys").alias("no", "key")).withColumn("no", F.least("no", F.lit(SKETCHES)))
     sizes = entries.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter("n > 1")
     return entries.join(sizes, ["no", "key"])
 
@@ -317,7 +340,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the greatest is aligned. A row with a null id is a group of its own. Other columns are
     ignored; an empty table gives an empty table.
     """
-    sketched = checkpoint(sketch_table(docs, id_col, text_col).dropDuplicates(["id", "hash"]))
+    sketched = checkpoint(sketch_table(docs, id_col, text_col, similarity).dropDuplicates(["id", "hash"]))
     wordy = sketched.filter(F.col("id").isNotNull() & (F.size("keys") > 0))
     distinct = checkpoint(wordy.groupBy("hash").agg(F.min(F.struct("id", "keys")).alias("r")).select("hash", "r.id", "r.keys"))
     roots = groups_of(distinct.select("id", "keys"), docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), similarity)
