@@ -46,6 +46,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents"), least_words=1)
+
+
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.without_passages(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op7_passage_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op7_every_line, op7_passage_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
 
 
 #: The twin of ``op7_line_dedup``.

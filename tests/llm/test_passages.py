@@ -3,7 +3,8 @@
 import random
 import re
 
-from linework.llm import passage_dedup
+from linework.llm import passage_dedup, queries
+from linework.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,3 +71,20 @@ def test_rows_without_id_and_with_one_id(spark):
     df = spark.createDataFrame([(None, text), (5, "x " + text), (5, "y " + text), (6, None), (7, text)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_removed) for r in passage_dedup.without_passages(df).collect())
     assert got == [(0, 0), (5, 1), (5, 1), (6, 0), (7, 1)]
+
+
+def test_short_lines_are_grouped_too(spark):
+    sf, seen, want = "/root/testdata/sf0.001", set(), {}
+    for k, text in sorted((r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect()):
+        at, out = 0, []
+        for line in text.split("\n"):
+            key = " ".join(WORD.findall(line)).lower()
+            if key and key in seen:
+                out.append(f"{at}:{at + len(line)}")
+            seen.add(key)
+            at += len(line) + 1
+        want[k] = ",".join(out)
+    got = {r.doc_id: r for r in queries.queries()["op7_every_line"](spark, sf).collect()}
+    lines = {r.doc_id: r for r in queries.op7_line_dedup(spark, sf).collect()}
+    assert {k: r.removed for k, r in got.items()} == want
+    assert sum(r.n_removed for r in got.values()) > sum(r.n_removed for r in lines.values())
