@@ -56,7 +56,7 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model = made["model"]
@@ -66,7 +66,7 @@ class Codec:
         self.end = model["end_of_word_suffix"] or ""
         self.letters = byte_letters()
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in made["added_tokens"]) + ")")
-        self.words, self.parts = Memo(self._word, MEMO), Memo(self._part, MEMO)
+        self.memo, self.words, self.parts = memo, Memo(self._word, memo), Memo(self._part, memo)
         self.leaves: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def tree(self, symbols: list[str]) -> list[str]:
@@ -79,7 +79,7 @@ class Codec:
     def _leaf(self, symbols: list[str]) -> list[str]:
         key = tuple(symbols)
         if (known := self.leaves.get(key)) is None:
-            if len(self.leaves) >= MEMO // 10:
+            if len(self.leaves) >= self.memo // 10:
                 self.leaves.clear()
             known = self.leaves[key] = tuple(merged(symbols, self.ranks))
         return list(known)
@@ -122,20 +122,27 @@ class Codec:
         """As the library does for a file without a decoder: tokens with a blank between two."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+        self.leaves.clear()
+
 
 def normal(text: str) -> str:
     """Composed, and in lower case letter by letter (no final sigma). White space only separates words."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-@functools.lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
+@functools.lru_cache(maxsize=1)
+def codec(path: str, memo: int = MEMO) -> Codec:
+    return Codec(path, memo)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "ids", memo: int = MEMO) -> DataFrame:
     """All columns of ``docs`` and ``ids_col``, the whole text as token ids; one pass, no shuffle.
 
+    A task remembers ``memo`` words at most and forgets them at its end.
+
     Null and empty texts give an empty array. A column that is already called ``ids_col`` is
     replaced. Repeated rows each give a row.
     """
@@ -143,21 +150,22 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col:
     place = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer)
+        own = codec(tokenizer, memo)
         for part in pieces(batches):
             ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, ids_col])
+        own.forget()
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
-def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """All columns and ``text_col``, decoded from ``ids_col``; a null array gives an empty text."""
     rows = encoded.drop(text_col)
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer)
+        own = codec(tokenizer, memo)
         for part in pieces(batches):
             texts = [own.decode(a or []) for a in part.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +21,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a local one is made.
+    Only where that is unset and all runs in one process (tests, a laptop) a local one is made; on
+    a cluster other machines would not see it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="linework-")
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linework-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; takes a third of a checkpoint's disk."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def pa_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def arrow_rows(made: Iterator[tuple], names: list[str], keys: list[pa.DataType], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ``most`` rows from (keys of a text, its arrays of one length)."""
+    held, rows = [], 0
+
+    def out() -> pa.RecordBatch:
+        sizes = [len(arrays[0]) for _, arrays in held]
+        owner = pa.array(np.repeat(np.arange(len(held)), sizes))
+        columns = [pa.array([k[i] for k, _ in held], kind).take(owner) for i, kind in enumerate(keys)]
+        columns += [pa.array(np.concatenate([arrays[i] for _, arrays in held])) for i in range(len(held[0][1]))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for own in made:
+        held.append(own)
+        rows += len(own[1][0])
+        if rows >= most:
+            yield out()
+            held, rows = [], 0
+    if held:
+        yield out()
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` evaluated once however often it stands there."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -42,7 +42,7 @@ SMALL, FIRST = 16, 4
 BLOCK = 256
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
-MEMO = 250_000
+MEMO = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

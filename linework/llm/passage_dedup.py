@@ -11,8 +11,6 @@ result is that of grouping all windows.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, arrow_rows, pa_type, stored
 from .near_dedup import _hashes, mix
 
 #: Words of a window; words of the run that it picks.
@@ -75,35 +73,6 @@ def windows(text: str, taken: list[tuple[int, int]]) -> list[np.ndarray]:
     return [*[Runs(words, b).of(at, at + LEAST).view(np.int64) for b in _BASES], at, starts[at], ends[at + LEAST - 1]]
 
 
-def _arrow(made: Iterator[tuple], names: list[str], keys: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Record batches of rows: the keys of a text, then its arrays."""
-    held, rows = [], 0
-
-    def out() -> pa.RecordBatch:
-        sizes = [len(arrays[0]) for _, arrays in held]
-        owner = pa.array(np.repeat(np.arange(len(held)), sizes))
-        columns = [pa.array([k[i] for k, _ in held], kind).take(owner) for i, kind in enumerate(keys)]
-        columns += [pa.array(np.concatenate([arrays[i] for _, arrays in held])) for i in range(len(held[0][1]))]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    for own in made:
-        held.append(own)
-        rows += len(own[1][0])
-        if rows >= 50_000:
-            yield out()
-            held, rows = [], 0
-    if held:
-        yield out()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; takes a third of a checkpoint's disk."""
-    spark = df.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='linework-passages-')}/passages-{uuid.uuid4()}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows whose (doc, copy) may be among ``keys``; all that are stay, and few others."""
     slot = lambda: F.pmod(F.xxhash64("doc", "copy"), F.lit(BITS))
@@ -134,7 +103,7 @@ def block_table(texts: DataFrame) -> DataFrame:
                     if got:
                         yield (doc.as_py(), copy.as_py()), got
 
-        yield from _arrow(made(), names, kinds)
+        yield from arrow_rows(made(), names, kinds)
 
     names = ["doc", "copy", "h", "b", "at", "last", "start", "end", "stop"]
     kinds = [pa_type(texts, "doc"), pa.int64()]
@@ -150,19 +119,13 @@ def window_table(texts: DataFrame) -> DataFrame:
                 for doc, copy, text, taken in zip(*batch.columns):
                     yield (doc.as_py(), copy.as_py()), windows(text.as_py(), [(t["at"], t["last"]) for t in taken.as_py()])
 
-        yield from _arrow(made(), names, kinds)
+        yield from arrow_rows(made(), names, kinds)
 
     names = ["doc", "copy", "w", "v", "at", "start", "end"]
     kinds = [pa_type(texts, "doc"), pa.int64()]
     return texts.select("doc", "copy", "text", "taken").mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, copy long, w long, v long, at long, start long, end long")
 
 
-def pa_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
 def later(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(doc, copy, at, until, start, end): the words that each row but the first of its keys takes.
 

@@ -47,7 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(table(spark, sf_dir, "documents"), least_words=1)
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents"), sentences=False, least_words=1)
 
 
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +76,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op7_every_line, op7_passage_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
 
 
-#: The twin of ``op7_line_dedup``.
+#: The twin of ``op7_line_dedup`` (and, with whole lines, of ``op7_every_line``).
 LINES = r"""
-WITH u AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
-s AS (SELECT *, CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u),
-n AS (SELECT *, lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM s WHERE len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= 8),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS rn FROM n) WHERE rn > 1),
-g AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(length(unit)) AS BIGINT) AS removed_chars, string_agg(concat(start, ':', start + length(unit)), ',' ORDER BY start) AS removed FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed FROM documents d LEFT JOIN g USING (doc_id)
+WITH u AS (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS unit FROM (SELECT doc_id, string_split({text}, chr(10)) AS parts FROM documents)),
+s AS (SELECT *, CAST(coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u),
+w AS (SELECT *, regexp_extract_all(unit, '[^\x20\x09-\x0D]+') AS words FROM s),
+n AS (SELECT doc_id, start, start + length(unit) AS stop, len(words) AS words, lower(array_to_string(words, ' ')) AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place FROM w WHERE len(words) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS later, count(*) OVER (PARTITION BY norm) AS n FROM n),
+i AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS every, place - row_number() OVER (PARTITION BY doc_id, later ORDER BY place) AS own FROM r WHERE n > 1),
+k AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, every) >= {least} AS shared, later AND sum(words) OVER (PARTITION BY doc_id, later, own) >= {least} AS gone FROM i),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, CAST(sum(stop - start) FILTER (gone) AS BIGINT) AS removed_chars, string_agg(concat(start, ':', stop), ',' ORDER BY start) FILTER (gone) AS removed, count(*) FILTER (shared) AS n_shared FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(removed, '') AS removed, coalesce(n_shared, 0) AS n_shared FROM documents d LEFT JOIN g USING (doc_id)
 """
+SENTENCES = r"regexp_replace(coalesce(text, ''), '([.!?])[\x20\t]', '\1' || chr(10), 'g')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINES}
+    return {"op7_line_dedup": LINES.replace("{text}", SENTENCES).replace("{least}", "30"), "op7_every_line": LINES.replace("{text}", "coalesce(text, '')").replace("{least}", "1")}

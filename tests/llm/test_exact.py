@@ -258,33 +258,37 @@ def test_language_model(spark, docs):
 
 
 def tiny():
-    words = gru_lm.Words([b"", *[b"w%d" % i for i in range(1100)]], np.arange(1101, 0, -1).astype(float), 700_000, 1500)
+    size = gru_lm.VOCABULARY + 80
+    words = gru_lm.Words([b"", *[b"w%d" % i for i in range(size)]], np.arange(size + 1, 0, -1).astype(float), size * (size + 1), size + 400)
     return words, gru_lm.start(words)
 
 
-def test_probabilities_of_the_next_word_sum_to_one():
+def test_probabilities_of_the_next_word_sum_to_one(monkeypatch):
     _, w = tiny()
-    every = [np.array([7, k]) for k in range(gru_lm.VOCABULARY)]
-    first = gru_lm.log_likelihood(w, [np.array([7])])[0]
+    monkeypatch.setattr(gru_lm, "LANES", gru_lm.VOCABULARY)  # these have no end, so each has a lane
+    every = [np.array([7, k], np.int16) for k in range(gru_lm.VOCABULARY)]
+    first = gru_lm.log_likelihood(w, [np.array([7], np.int16)])[0]
     assert np.exp(gru_lm.log_likelihood(w, every) - first).sum() == pytest.approx(1.0, abs=1e-3)
 
 
 def test_state_is_carried_over_windows(monkeypatch):
     _, w = tiny()
     rnd = np.random.default_rng(1)
-    docs = [rnd.integers(0, gru_lm.VOCABULARY, n).astype(np.int32) for n in (1, 5, 16, 17, 90)]
+    docs = [np.r_[rnd.integers(1, gru_lm.VOCABULARY, n), 0].astype(np.int16) for n in (1, 5, 16, 17, 90)]
     whole = gru_lm.log_likelihood(w, docs)
     monkeypatch.setattr(gru_lm, "STEPS", 3)
     assert np.allclose(whole, gru_lm.log_likelihood(w, docs), rtol=1e-4)
     assert np.allclose(whole, [gru_lm.log_likelihood(w, [d])[0] for d in docs], rtol=1e-4)
+    monkeypatch.setattr(gru_lm, "LANES", 2)
+    assert np.allclose(whole, gru_lm.log_likelihood(w, docs), rtol=1e-4)  # several documents in a lane
 
 
 def test_gradients():
     _, w = tiny()
     w = {k: x.astype(np.float64) for k, x in w.items()}
-    batch = gru_lm.Batch([np.array([3, 9, 9, 40, 0]), np.array([5, 700, 0])])
+    batch = gru_lm.Batch([np.array([3, 9, 9, 40, 0]), np.array([5, 700, 0]), np.array([9, 3, 1, 0])], lanes=2)
     steps = next(iter(batch.windows()))
-    target = np.concatenate([y for _, y in steps])
+    target = np.concatenate([y for _, y, _ in steps])
 
     def loss():
         states, _ = gru_lm.forward(w, np.zeros((2, gru_lm.HIDDEN)), steps)
@@ -294,7 +298,7 @@ def test_gradients():
     states, kept = gru_lm.forward(w, np.zeros((2, gru_lm.HIDDEN)), steps)
     _, back = gru_lm.outputs(w, states, target, grads)
     gru_lm.backward(w, kept, back, grads)
-    for k, at in (("embed", (9, 3)), ("embed", (3, 20)), ("embed", (0, 40)), ("recur", (2, 5)), ("recur", (2, 40)), ("class_w", (1, 2)), ("word_w", (0, 3, 9))):
+    for k, at in (("embed_z", (9, 3)), ("embed_r", (3, 4)), ("embed_n", (0, 8)), ("embed_n", (9, 8)), ("recur_z", (2, 5)), ("recur_r", (2, 5)), ("recur_n", (2, 8)), ("class_w", (1, 0)), ("class_b", (1,)), ("word_w", (0, 3)), ("word_b", (40,))):
         old = w[k][at]
         w[k][at] = old + 1e-4
         up = loss()

@@ -138,7 +138,22 @@ def test_short_items_and_nulls_hold_nothing(spark):
 
 
 def test_lines_keep_the_first_and_its_offsets(spark):
-    line = "alpha beta gamma delta epsilon zeta eta theta"
+    line = " ".join(f"word{k}" for k in range(31))
     df = spark.createDataFrame([(2, f"short\n{line}\nend"), (1, f"{line.upper()}  \nx"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.without_repeats(df, with_text=True).collect()}
     assert got[1].n_removed == 0 and got[2].removed == f"6:{6 + len(line)}" and got[2].clean_text == "short\nend" and got[3].n_removed == 0
+    assert got[1].n_shared == got[2].n_shared == 1 and got[3].n_shared == 0
+
+
+def test_stretches_of_short_sentences(spark):
+    said = [" ".join(f"w{k}x{i}" for i in range(10)) + "." for k in range(4)]
+    other = "One more. It is."
+    df = spark.createDataFrame(
+        [(1, f"Start here. {' '.join(said)} {other}"), (2, f"Cut in {' '.join(said[:1])} {said[1]} {said[2]}\n\n{said[3]} Own end. {other}"), (3, f"{said[0]} Own words. {said[1]} {other}"), (3, f"{said[0]} Own words. {said[1]} {other}")],
+        "doc_id long, text string",
+    )
+    got = [(r.doc_id, r.n_removed, r.n_shared, r.clean_text) for r in line_dedup.without_repeats(df, with_text=True).orderBy("doc_id").collect()]
+    # Three sentences of ten words each, over a blank line, go; the first, with two more words, and short ones by themselves stay.
+    assert got[1] == (2, 3, 3, f"Cut in {said[0]} \nOwn end. {other}")
+    assert got[0][:2] == (1, 0) and got[0][2] >= 4
+    assert [g[1] for g in got[2:]] == [0, 0]
