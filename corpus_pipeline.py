@@ -7,8 +7,8 @@ read again as the next one's documents.
 2. ``near_dedup``: one document of each group of near copies stays.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``secret_scan``: every secret is masked in the text; all documents stay.
-5. ``bpe``: (doc_id, lang, source, n_chars, n_tokens, ids, decoded_sha256), the ids of the whole
-   text and the digest of what they decode to.
+5. ``bpe``: all columns but the text, and n_tokens, ids and decoded_sha256: the ids of the whole text
+   and the digest of what they decode to.
 
 Null and empty texts have no language and go in the first stage. Rows with a null id pass the
 stages that compare documents. Tables may be empty, and may have more columns, which stay.
@@ -16,24 +16,28 @@ stages that compare documents. Tables may be empty, and may have more columns, w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linework.llm import bpe_codec, decontaminate, language_id, near_dedup, secret_scan
+from linework.llm.common import shared_folder
 from linework.llm.queries import tokenizer_path
 
 #: A language whose pairwise machines are less sure than this is not recognised.
 LEAST_SCORE = 0.5
+#: Words that a task of the last stage remembers.
+MEMO = 60_000
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = docs.filter(~language_id.held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang")
-    guessed = language_id.predict(docs, language_id.fit(labelled), lang_out="_lang", score_out="_score")
-    kept = guessed.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    long = "_" * max(map(len, docs.columns))  # longer than any name that is there
+    lang, score = f"_lang{long}", f"_score{long}"
+    guessed = language_id.predict(docs, language_id.fit(labelled), lang_out=lang, score_out=score)
+    kept = guessed.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +55,10 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    coded = bpe_codec.encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), path)
-    back = bpe_codec.decode(coded, path, text_col="_decoded")
-    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
+    coded = bpe_codec.encode(docs, path, memo=MEMO)
+    back = bpe_codec.decode(coded, path, text_col="text", memo=MEMO)
+    more = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
+    return back.select(*more, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -70,8 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linework-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
