@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_rows, pa_type, stored
 
 #: Pieces into which the occurrences of one digest are dealt when its first place is joined back.
-SALT = 64
+SALT = 8
 #: Words of the shortest stretch that goes.
 LEAST_WORDS = 30
 _WORD = re.compile(WORD)
@@ -30,18 +30,18 @@ _SENTENCE = re.compile(r"([.!?])[\x20\t]")
 
 
 def units(text: str, sentences: bool = True) -> list[np.ndarray]:
-    """Place, start, end, number of words and two halves of the digest of each unit with a word."""
+    """Place, start, end, number of words and 64 and 32 bits of the digest of each unit with a word."""
     made, start = [], 0
     for unit in (_SENTENCE.sub("\\1\n", text) if sentences else text).split("\n"):
         words = _WORD.findall(unit)
         if words:
             digest = xxhash.xxh3_128_intdigest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
-            made.append((start, start + len(unit), len(words), digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
+            made.append((start, start + len(unit), len(words), digest >> 64, digest & 0xFFFFFFFF))
         start += len(unit) + 1
     if not made:
         return []
     starts, ends, words, high, low = zip(*made)
-    return [np.arange(len(made)), np.array(starts), np.array(ends), np.array(words), np.array(high, np.uint64).view(np.int64), np.array(low, np.uint64).view(np.int64)]
+    return [*[np.array(x, np.int32) for x in (range(len(made)), starts, ends, words)], np.array(high, np.uint64).view(np.int64), np.array(low, np.uint32).view(np.int32)]
 
 
 def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
@@ -60,7 +60,7 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
         yield from arrow_rows(made(), names, kinds)
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, copy long, place long, start long, end long, words long, h long, g long")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, copy long, place int, start int, end int, words int, h long, g int")
 
 
 def repeated_units(every: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def without_repeats(
     found = stretches(repeated_units(every), least_words).withColumnsRenamed({"doc": "_doc", "copy": "_copy"})
     base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), *([F.col(text_col).alias("text")] if with_text else []))
     out = base.join(found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     columns = [
         F.col("doc").alias(id_col), F.size(spans).cast("long").alias("n_removed"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),
@@ -126,8 +126,8 @@ def without_repeats(
 def cut(text: Column, spans: Column) -> Column:
     """The text without the spans and the break that follows each."""
     kept = F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["parts"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")))).alias("parts")),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
+        spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]))).alias("parts")),
+        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) == 0, text).otherwise(kept)
