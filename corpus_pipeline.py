@@ -10,8 +10,8 @@ read again as the next one's documents.
 5. ``bpe``: all columns but the text, and n_tokens, ids and decoded_sha256: the ids of the whole text
    and the digest of what they decode to.
 
-Null and empty texts have no language and go in the first stage. Rows with a null id pass the
-stages that compare documents. Tables may be empty, and may have more columns, which stay.
+Null and empty texts have no language and go in the first stage. A row with a null id is a document
+of its own. Tables may be empty, and may have more columns, which stay.
 """
 
 from __future__ import annotations
@@ -45,8 +45,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

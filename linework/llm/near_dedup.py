@@ -5,12 +5,15 @@ repeated run counts as often as it stands there. Each of ``SKETCHES`` hash funct
 ``LEAST`` smallest labelled k-mers, and they are kept in text order: two texts agree on a sketch
 if they pick the same k-mers in the same order, which is likelier the fewer edits lie between
 them. Texts that agree on a sketch share a bucket and are candidates. A pair is verified by
-aligning its k-mers within a band as wide as the threshold allows. Verified pairs are joined to
-groups by connected components.
+aligning its words within a band as wide as the threshold allows: with 0.8, one word in ten may be
+another. Verified pairs are joined to groups by connected components.
 
+If a share p of the words is replaced, two texts have c = (1 - p) ** 5 of their k-mers in common and
+agree on a sketch with a chance of about (c / (2 - c)) ** LEAST; of ``SKETCHES`` one is enough.
 Sketches of short texts say little. Texts of up to ``SHORT`` k-mers, and those long enough to be
 alike to one, also share a bucket if one of their least labelled k-mers is the same, as many of
-them as the threshold lets differ and one more: no pair with such a text is missed.
+them as the threshold lets differ and one more: no pair with such a text and that share of common
+k-mers is missed.
 
 Exact copies (of the words in lower case) are one text from the start. In a bucket of at most
 ``SMALL`` texts all pairs are verified. In a larger one every text is first verified against the
@@ -33,13 +36,14 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .common import checkpoint
 
-K, LEAST, SKETCHES = 5, 5, 20
+K, LEAST, SKETCHES = 5, 3, 40
 #: K-mers up to which candidates are exact.
 SHORT = 15
 #: Texts of a bucket of which all pairs are verified; sketches that are taken first.
 SMALL, FIRST = 16, 4
 #: Texts of a block, in expectation.
 BLOCK = 256
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
 MEMO = 100_000
@@ -67,9 +71,13 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def word_hashes(own: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+
+
 def kmers(own: list[str], k: int = K) -> np.ndarray:
     """Hash of each run of k words; a text of fewer is one run; none for no words."""
-    h = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+    h = word_hashes(own)
     k = min(k, len(h))
     if not k:
         return h
@@ -107,7 +115,11 @@ def sketches(own: list[str], k: int = K, least: int = LEAST, number: int = SKETC
         ranks ^= ranks >> np.uint64(29)
         ranks *= _M2
         if len(runs) > least:
-            picks = np.sort(np.argpartition(ranks, least - 1, axis=1)[:, :least], axis=1)
+            picks, row = np.empty((len(ranks), least), np.int64), np.arange(len(ranks))
+            for i in range(least):  # a few scans for the least are faster than a partial sort
+                picks[:, i] = ranks.argmin(axis=1)
+                ranks[row, picks[:, i]] = _MOST
+            picks.sort(axis=1)
         else:
             picks = np.broadcast_to(np.arange(len(runs)), (len(ranks), len(runs)))
         keys[a : a + rows] = (runs[picks] * weights[: picks.shape[1]]).sum(axis=1, dtype=np.uint64)
@@ -188,14 +200,14 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, runs = None, []
+        last, own = None, []
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = x.as_py(), y.as_py()
                 if x != last:
-                    last, runs = x, kmers(words(x)).tolist()
-                if aligned(runs, kmers(words(y)).tolist(), similarity) >= similarity:
+                    last, own = x, word_hashes(words(x)).tolist()
+                if aligned(own, word_hashes(words(y)).tolist(), similarity) >= similarity:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -294,13 +306,13 @@ def block_edges(open_: DataFrame, large: DataFrame, texts: DataFrame, similarity
     def alike(block):
         import pandas as pd
 
-        runs = [kmers(words(t)) for t in block["text"]]
+        runs = [word_hashes(words(t)) for t in block["text"]]
         marked = [labelled(r) if len(r) else r for r in runs]
         ids, roots_, side = block["id"].tolist(), block["root"].tolist(), block["side"].to_numpy()
         q, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         shared = intersections([marked[k] for k in q], [marked[k] for k in m])
         sizes_q, sizes_m = np.array([len(marked[k]) for k in q]), np.array([len(marked[k]) for k in m])
-        # No alignment has more matches than the k-mers that both hold.
+        # No alignment has more matches than the words that both hold.
         bound = shared >= similarity * (sizes_q[:, None] + sizes_m[None, :] - shared) - 1e-6
         out = []
         for x, y in zip(*np.nonzero(bound)):
@@ -314,8 +326,8 @@ def block_edges(open_: DataFrame, large: DataFrame, texts: DataFrame, similarity
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
-    """Number of labelled k-mers that each of ``left`` shares with each of ``right``: products of
-    0/1 matrices, ``width`` k-mers at a time."""
+    """Number of labelled words that each of ``left`` shares with each of ``right``: products of
+    0/1 matrices, ``width`` words at a time."""
     out = np.zeros((len(left), len(right)), np.float32)
     if not left or not right:
         return out
@@ -352,6 +364,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group; rows with a null id stay."""
+    """The rows of ``docs`` with one document of each near-duplicate group; rows with a null id stay.
+
+    Rows of one id and one text are one row; of several texts under an id that stays, all stay.
+    """
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity).filter("kept").select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
