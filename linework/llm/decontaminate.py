@@ -41,14 +41,27 @@ def shingles(words: Column, size: int = K) -> Column:
 
 
 def simhash(parts: Column) -> Column:
-    """64-bit fingerprint: bit b is set if more than half of the weight has bit b set."""
-    masks = [F.lit((1 << b) if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)]
-    heavy = lambda m: F.size(F.filter(parts, lambda x: x.bitwiseAND(m) != 0)) * 2 > F.size(parts)
-    bits = [F.when(heavy(m), m).otherwise(F.lit(0).cast("bigint")) for m in masks]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+    """64-bit fingerprint: bit b is set if more than half of the weight has bit b set.
+
+    Four bits are counted at once, each in 16 bits of a sum; longer lists are counted bit by bit.
+    """
+    lanes = F.lit(0x0001000100010001).cast("bigint")
+    count = lambda j: F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + F.shiftrightunsigned(x, j).bitwiseAND(lanes))
+
+    def both(columns: list[Column]) -> Column:
+        out = columns[0]
+        for c in columns[1:]:
+            out = out.bitwiseOR(c)
+        return out
+
+    mask = lambda b: F.lit((1 << b) if b < 63 else -(1 << 63)).cast("bigint")
+    no = F.lit(0).cast("bigint")
+    heavy = lambda sums, j, lane: F.shiftrightunsigned(sums, 16 * lane).bitwiseAND(F.lit(0xFFFF).cast("bigint")) * 2 > F.size(parts)
+    lifted = lambda j: let(count(j), lambda sums: both([F.when(heavy(sums, j, lane), mask(j + 16 * lane)).otherwise(no) for lane in range(4)]))
+    fast = both([lifted(j) for j in range(16)])
+    single = lambda m: F.when(F.size(F.filter(parts, lambda x: x.bitwiseAND(m) != 0)) * 2 > F.size(parts), m).otherwise(no)
+    slow = both([single(mask(b)) for b in range(64)])
+    return F.when(F.size(parts) < 1 << 15, fast).otherwise(slow)
 
 
 def blocks(print_: Column, radius: int) -> Column:
