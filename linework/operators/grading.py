@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import odds
+from .shop import SIDE
 from ..functions.stats import wilson
 
 TIE = 1e-9
@@ -43,15 +44,20 @@ def grade_picks(picks: DataFrame, games: DataFrame) -> DataFrame:
     return rows.withColumn("profit", odds.payout(F.col("result"), F.col("stake"), F.col("price")))
 
 
-def closing_lines(picks: DataFrame, observed: DataFrame, games: DataFrame) -> DataFrame:
-    """Last quoted price before kickoff for the market side of each pick, at its best book, and the
-    value of the pick's price over it. Quotes after kickoff never count, however late they came."""
-    key = ["game_id", "market_type", "side"]
+def closing_lines(picks: DataFrame, observed: DataFrame, games: DataFrame, fair: DataFrame) -> DataFrame:
+    """Closing price and probability of each pick at its own line, and the value of its price over them.
+
+    The closing price is the best of the books' last prices before kickoff for the pick's market,
+    player, side and line; quotes after kickoff never count, however late they came. ``clv_pct`` is
+    the edge of the pick's price less that of the closing price, both at the fair probability of
+    that line (the sharp books' where there is one); null where either is missing.
+    """
     before = observed.join(games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc"), "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc"))
-    last = before.groupBy(*key, "book").agg(F.max_by("price", F.struct("observed_at", "seq")).alias("price"))
-    close = last.groupBy(*key).agg(F.max("price").alias("closing_price"), F.count(F.lit(1)).alias("closing_books"))
-    clv = (odds.decimal_odds(F.col("price")) / odds.decimal_odds(F.col("closing_price")) - 1.0) * 100.0
-    return picks.join(close, key, "left").withColumn("clv_pct", clv)
+    last = before.groupBy(*SIDE, "book").agg(F.max_by("price", F.struct("observed_at", "seq")).alias("price"))
+    close = last.groupBy(*SIDE).agg(F.max("price").alias("closing_price"), F.count(F.lit(1)).alias("closing_books"))
+    prob = fair.select(*SIDE, F.when(F.col("sharp_prob") > 0, F.col("sharp_prob")).otherwise(F.col("fair_prob")).alias("closing_prob"))
+    clv = odds.edge_pct(F.col("closing_prob"), F.col("price")) - odds.edge_pct(F.col("closing_prob"), F.col("closing_price"))
+    return picks.join(close, SIDE, "left").join(prob, SIDE, "left").withColumn("clv_pct", clv)
 
 
 def performance(graded: DataFrame, *by: str) -> DataFrame:

@@ -113,8 +113,9 @@ def team_game_context(games: DataFrame) -> DataFrame:
 
 
 def kickoff_slot(kickoff: Column) -> Column:
+    """early before 17, late before 21, else primetime, by the hour of the session's time zone; early without a kickoff."""
     h = F.hour(kickoff)
-    return F.when(kickoff.isNull(), None).when(h < 19, "early").when(h < 23, "late").otherwise("primetime")
+    return F.when(kickoff.isNull() | (h < 17), "early").when(h < 21, "late").otherwise("primetime")
 
 
 def report_panel(reports: DataFrame, usage: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import odds
-from .quotes import MARKET
-from .shop import SIDE, upcoming
+from .shop import MAX_EDGE_PCT, SIDE, anchored, upcoming
 
 # What a tier asks for, and how classes of markets scale it.
 TIERS = {"A": (5.0, 15, True, 0.03), "B": (3.0, 10, False, 0.05), "C": (2.0, 8, False, 1.0)}
@@ -31,10 +30,6 @@ def thresholds(kind: str, tier: str) -> tuple[float, int, bool, float]:
     return edge * EDGE_SCALE[kind], max(4, round(books * BOOK_SCALE[kind])), sharp and kind == "game", spread * (1.5 if kind == "prop" else 1.0)
 
 
-def loosest_books() -> int:
-    return min(thresholds(kind, "C")[1] for kind in BOOK_SCALE)
-
-
 def assign_tier(opps: DataFrame) -> DataFrame:
     """``bet_class`` and ``tier``: the first of A, B, C whose bar for the class is cleared, else null."""
     kind, spread = F.col("bet_class"), F.coalesce("dispersion", F.lit(0.0))
@@ -73,17 +68,21 @@ def size_slate(tiered: DataFrame, *, fraction: float = 0.25, cap_pct: float = 2.
 
 
 def new_picks(sized: DataFrame, pending: DataFrame) -> DataFrame:
-    """Sized opportunities whose market side has no pending pick."""
-    return sized.join(pending.select(*MARKET, "side").distinct(), [*MARKET, "side"], "left_anti")
+    """Sized opportunities whose market side and line have no pending pick."""
+    return sized.join(pending.select(*SIDE).distinct(), SIDE, "left_anti")
 
 
 def reprice(pending: DataFrame, quotes_best: DataFrame, fair: DataFrame) -> DataFrame:
-    """Pending picks with their price and edge now; a pick is withdrawn when it no longer clears
-    the bar, never published again, and left alone where nothing is quoted."""
-    now = fair.join(quotes_best, SIDE).select(*SIDE, F.col("best_price").alias("new_price"), odds.edge_pct(F.col("fair_prob"), F.col("best_price")).alias("new_edge"), F.col("book_count").alias("new_books"))
+    """Pending picks with their price and edge now, on the anchor of new picks; a pick is withdrawn
+    when it no longer clears a bar of its class, never published again, and left alone where
+    nothing is quoted."""
+    priced = assign_tier(anchored(fair.join(quotes_best, SIDE)))
+    now = priced.select(*SIDE, F.col("best_price").alias("new_price"), F.col("edge_pct").alias("new_edge"), F.col("tier").alias("_tier"))
     met = pending.join(now, SIDE, "left")
-    fine = (F.col("new_edge") >= TIERS["C"][0]) & (F.col("new_edge") <= 25.0) & (F.col("new_books") >= loosest_books())
-    return met.withColumn("still_published", F.col("published") & F.when(F.col("new_price").isNull(), F.lit(True)).otherwise(fine))
+    fine = F.col("_tier").isNotNull() & (F.col("new_edge") <= MAX_EDGE_PCT)
+    met = met.withColumn("_fine", fine).drop("_tier")
+    fine = F.col("_fine")
+    return met.withColumn("still_published", F.col("published") & F.when(F.col("new_price").isNull(), F.lit(True)).otherwise(fine)).drop("_fine")
 
 
 def current_slate(picks: DataFrame, games: DataFrame, as_of: str, *, include_unpublished: bool = False) -> DataFrame:

@@ -34,8 +34,14 @@ def main_lines(quotes: DataFrame) -> DataFrame:
 
 def upcoming(df: DataFrame, games: DataFrame, as_of: str) -> DataFrame:
     """Rows whose game has not started at ``as_of``; those without a kickoff or a game row stay."""
-    kickoff = F.broadcast(games.select("game_id", "kickoff_utc"))
-    return df.join(kickoff, "game_id", "left").filter(F.col("kickoff_utc").isNull() | (F.col("kickoff_utc") > F.lit(as_of).cast("timestamp")))
+    return df.join(games.select("game_id", "kickoff_utc"), "game_id", "left").filter(F.col("kickoff_utc").isNull() | (F.col("kickoff_utc") > F.lit(as_of).cast("timestamp")))
+
+
+def anchored(priced: DataFrame) -> DataFrame:
+    """``priced`` with anchor_prob, anchor and edge_pct: the sharp books' probability where there is one, else the consensus."""
+    anchor = F.when(F.col("sharp_prob") > 0, F.col("sharp_prob")).otherwise(F.col("fair_prob"))
+    rows = priced.withColumn("anchor_prob", anchor).withColumn("anchor", F.when(F.col("sharp_prob") > 0, "sharp").otherwise("consensus"))
+    return rows.filter("anchor_prob > 0").withColumn("edge_pct", odds.edge_pct(F.col("anchor_prob"), F.col("best_price")))
 
 
 def opportunities(
@@ -49,10 +55,7 @@ def opportunities(
     if main_only:
         lines = main_lines(quotes).select(*MARKET, F.col("main_line").alias("_main"))
         rows = rows.withColumn("_main", F.abs("line")).join(lines, [*MARKET, "_main"], "left_semi").drop("_main")
-    anchor = F.when(F.col("sharp_prob") > 0, F.col("sharp_prob")).otherwise(F.col("fair_prob"))
-    rows = rows.withColumn("anchor_prob", anchor).withColumn("anchor", F.when(F.col("sharp_prob") > 0, "sharp").otherwise("consensus"))
-    rows = rows.filter("anchor_prob > 0").withColumn("edge_pct", odds.edge_pct(F.col("anchor_prob"), F.col("best_price")))
-    return upcoming(rows.filter(F.col("edge_pct") >= least_edge), games, as_of).withColumn("rejected", F.col("edge_pct") > MAX_EDGE_PCT).drop("kickoff_utc")
+    return upcoming(anchored(rows).filter(F.col("edge_pct") >= least_edge), games, as_of).withColumn("rejected", F.col("edge_pct") > MAX_EDGE_PCT).drop("kickoff_utc")
 
 
 def top(opps: DataFrame, n: int) -> DataFrame:

@@ -205,14 +205,14 @@ def exposure_caps(spark: SparkSession, d: str) -> DataFrame:
     return picks.exposure_caps(sized).select("pick_id", r("stake", 9))
 
 
-@query(f"WITH {OPPS} SELECT game_id, market_type, side, line, round(edge_pct, 6) AS edge_pct FROM opps o WHERE NOT rejected AND NOT EXISTS (SELECT 1 FROM fx_picks p WHERE p.game_id = o.game_id AND p.market_type = o.market_type AND p.side = o.side AND p.published = 1 AND p.tier = 'A')")
+@query(f"WITH {OPPS} SELECT game_id, market_type, side, line, round(edge_pct, 6) AS edge_pct FROM opps o WHERE NOT rejected AND NOT EXISTS (SELECT 1 FROM fx_picks p WHERE p.game_id = o.game_id AND p.market_type = o.market_type AND p.side = o.side AND p.line = o.line AND p.published = 1 AND p.tier = 'A')")
 def new_picks(spark: SparkSession, d: str) -> DataFrame:
     pending = view(spark, d, "fx_picks").filter("published = 1 and tier = 'A'").withColumn("player_id", F.lit(""))
     return picks.new_picks(_opps(spark, d).filter("not rejected"), pending).select("game_id", "market_type", "side", "line", r("edge_pct"))
 
 
-@query(f"""WITH {FAIR}{BEST}, now AS (SELECT f.game_id, f.market_type, f.side, f.line, b.best_price AS new_price, (f.fair_prob * ({DECIMAL.format('b.best_price')}) - 1.0) * 100.0 AS new_edge, f.book_count FROM fair f JOIN best b USING (game_id, market_type, player_id, side, line))
-SELECT pick_id, new_price, round(new_edge, 6) AS new_edge, published = 1 AND (new_price IS NULL OR (new_edge >= 2.0 AND new_edge <= 25.0 AND book_count >= 4)) AS still_published FROM fx_picks p LEFT JOIN now n ON n.game_id = p.game_id AND n.market_type = p.market_type AND n.side = p.side AND n.line = p.line""")
+@query(f"""WITH {FAIR}{BEST}, now AS (SELECT f.game_id, f.market_type, f.side, f.line, b.best_price AS new_price, (CASE WHEN sharp_prob > 0 THEN sharp_prob ELSE fair_prob END * ({DECIMAL.format('b.best_price')}) - 1.0) * 100.0 AS new_edge, f.book_count, f.dispersion FROM fair f JOIN best b USING (game_id, market_type, player_id, side, line))
+SELECT pick_id, new_price, round(new_edge, 6) AS new_edge, published = 1 AND (new_price IS NULL OR (new_edge >= 2.0 AND new_edge <= 25.0 AND book_count >= 8 AND dispersion <= 0.15)) AS still_published FROM fx_picks p LEFT JOIN now n ON n.game_id = p.game_id AND n.market_type = p.market_type AND n.side = p.side AND n.line = p.line""")
 def repriced_picks(spark: SparkSession, d: str) -> DataFrame:
     pending = view(spark, d, "fx_picks").withColumn("player_id", F.lit("")).withColumn("published", F.col("published") == 1)
     return picks.reprice(pending, shop.best_prices(_current(spark, d), BETTABLE), _fair(spark, d)).select("pick_id", "new_price", r("new_edge"), "still_published")
@@ -254,12 +254,22 @@ def performance_by_filter(spark: SparkSession, d: str) -> DataFrame:
     return _record(grading.performance_by_filter(_graded(spark, d)), "filter")
 
 
-@query(f"""WITH last AS (SELECT game_id, market_type, side, book, arg_max(price, observed_at::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS price FROM fx_quote_obs JOIN fx_games g USING (game_id) WHERE observed_at <= g.kickoff_utc GROUP BY ALL),
-c AS (SELECT game_id, market_type, side, max(price) AS closing_price, count(*) AS closing_books FROM last GROUP BY ALL)
-SELECT pick_id, closing_price, closing_books, round((({DECIMAL.format('price')}) / ({DECIMAL.format('closing_price')}) - 1.0) * 100.0, 6) AS clv_pct FROM fx_picks LEFT JOIN c USING (game_id, market_type, side)""")
+CLOSED = FAIR + f""",
+last AS (SELECT game_id, market_type, player_id, side, line, book, arg_max(price, observed_at::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS price FROM fx_quote_obs JOIN fx_games g USING (game_id) WHERE observed_at <= g.kickoff_utc GROUP BY ALL),
+c AS (SELECT game_id, market_type, side, line, max(price) AS closing_price, count(*) AS closing_books FROM last WHERE player_id = '' GROUP BY ALL),
+cp AS (SELECT game_id, market_type, side, line, CASE WHEN sharp_prob > 0 THEN sharp_prob ELSE fair_prob END AS closing_prob FROM fair WHERE player_id = ''),
+closed AS (SELECT p.*, closing_price, closing_books, closing_prob, closing_prob * (({DECIMAL.format('price')}) - ({DECIMAL.format('closing_price')})) * 100.0 AS clv_pct FROM fx_picks p LEFT JOIN c USING (game_id, market_type, side, line) LEFT JOIN cp USING (game_id, market_type, side, line)),
+clv AS (SELECT * FROM closed WHERE clv_pct IS NOT NULL)"""
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    own = view(spark, d, "fx_picks").withColumn("player_id", F.lit(""))
+    return grading.closing_lines(own, view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"), _fair(spark, d))
+
+
+@query(f"WITH {CLOSED} SELECT pick_id, closing_price, closing_books, round(closing_prob, 6) AS closing_prob, round(clv_pct, 6) AS clv_pct FROM closed")
 def closing_lines(spark: SparkSession, d: str) -> DataFrame:
-    closed = grading.closing_lines(view(spark, d, "fx_picks"), view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"))
-    return closed.select("pick_id", "closing_price", "closing_books", r("clv_pct"))
+    return _closed(spark, d).select("pick_id", "closing_price", "closing_books", r("closing_prob"), r("clv_pct"))
 
 
 @query(f"WITH {GRADED} SELECT CAST((kickoff_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS day, CASE result WHEN 'win' THEN 'winning' WHEN 'loss' THEN 'losing' ELSE 'level' END AS standing, count(*) AS bets, round(sum(stake), 4) AS units FROM graded JOIN (SELECT game_id, kickoff_utc FROM fx_games) k USING (game_id) GROUP BY ALL")
@@ -279,15 +289,6 @@ def active_moves(spark: SparkSession, d: str) -> DataFrame:
     return quotes.active_moves(quotes.price_changes(view(spark, d, "fx_quote_obs")), now).select("seq", "game_id", "market_type", "side", "book")
 
 
-CLOSED = f"""last AS (SELECT game_id, market_type, side, book, arg_max(price, observed_at::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS price FROM fx_quote_obs JOIN fx_games g USING (game_id) WHERE observed_at <= g.kickoff_utc GROUP BY ALL),
-c AS (SELECT game_id, market_type, side, max(price) AS closing_price FROM last GROUP BY ALL),
-clv AS (SELECT *, (({DECIMAL.format('price')}) / ({DECIMAL.format('closing_price')}) - 1.0) * 100.0 AS clv_pct FROM fx_picks JOIN c USING (game_id, market_type, side))"""
-
-
-def _closed(spark: SparkSession, d: str) -> DataFrame:
-    return grading.closing_lines(view(spark, d, "fx_picks"), view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"))
-
-
 @query(f"WITH {CLOSED} SELECT tier, market_type, count(*) AS n, round(avg(clv_pct), 6) AS avg_clv_pct, round(avg(CASE WHEN clv_pct > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS beat_close FROM clv GROUP BY ALL")
 def closing_value(spark: SparkSession, d: str) -> DataFrame:
     return grading.closing_value_by(_closed(spark, d), "tier", "market_type").select("tier", "market_type", "n", r("avg_clv_pct"), r("beat_close"))
