@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import odds
+from .shop import upcoming
 
 ZONE = "America/New_York"
 
@@ -74,3 +75,16 @@ def order_board(rows: DataFrame, key: str) -> DataFrame:
     """By probability, edge or kickoff (unknown last); withdrawn picks last of all."""
     by = {"probability": F.desc_nulls_last("fair_prob"), "edge": F.desc_nulls_last("edge_pct"), "kickoff": F.asc_nulls_last("kickoff_utc")}[key]
     return rows.orderBy(F.desc("published"), by, "pick_id")
+
+
+def by_severity(reports: DataFrame, n: int = 25) -> DataFrame:
+    """The ``n`` gravest reports: Out, Doubtful, Questionable, then others, by player and report."""
+    status = F.col("report_status")
+    rank = F.when(status == "Out", 0).when(status == "Doubtful", 1).when(status == "Questionable", 2).otherwise(3)
+    return reports.withColumn("severity", rank).orderBy("severity", "player_id", "report_id").limit(n)
+
+
+def review_candidates(picks: DataFrame, games: DataFrame, as_of: str, n: int = 60) -> DataFrame:
+    """The ``n`` pending picks of most edge that no review stopped and whose game has not started."""
+    open_ = picks.filter((F.col("result") == "pending") & (F.coalesce("verdict", F.lit("")).isin("OK", "")))
+    return upcoming(open_, games, as_of).orderBy(F.desc_nulls_last("edge_pct"), "pick_id").limit(n)

@@ -126,3 +126,23 @@ def test_reprice_only_withdraws(spark):
 
 def test_loosest_books_is_reachable():
     assert picks.loosest_books() == 4 and picks.thresholds("prop", "A")[1] == 8
+
+
+def test_closing_value_is_of_the_own_line_and_player(spark):
+    from datetime import datetime as t
+
+    side = ("g", "spreads", "", "home")
+    picks = spark.createDataFrame([(1, *side, -3.5, 100), (2, *side, -7.0, 100), (3, "g", "receptions", "p1", "over", 4.5, 120), (4, *side, -1.0, 100)], "pick_id int, game_id string, market_type string, player_id string, side string, line double, price int")
+    quote = lambda s, line, book, price, hour, seq: (*s, line, book, price, t(2024, 1, 1, hour), seq)
+    prop = ("g", "receptions", "p1", "over")
+    observed = spark.createDataFrame(
+        [quote(side, -3.5, "a", -120, 9, 1), quote(side, -3.5, "a", -110, 10, 2), quote(side, -3.5, "b", -115, 10, 3), quote(side, -3.5, "b", 300, 13, 4), quote(side, -7.0, "a", 150, 10, 5), quote(prop, 4.5, "a", 110, 10, 6), quote(("g", "receptions", "p2", "over"), 4.5, "a", 500, 10, 7)],
+        "game_id string, market_type string, player_id string, side string, line double, book string, price int, observed_at timestamp, seq int",
+    )
+    games = spark.createDataFrame([("g", t(2024, 1, 1, 12))], "game_id string, kickoff_utc timestamp")
+    fair = spark.createDataFrame([(*side, -3.5, 0.5, 0.52), (*side, -7.0, 0.4, None), (*prop, 4.5, 0.48, None)], "game_id string, market_type string, player_id string, side string, line double, fair_prob double, sharp_prob double")
+    got = {r.pick_id: (r.closing_price, r.closing_prob, r.clv_pct) for r in grading.closing_lines(picks, observed, games, fair).collect()}
+    assert got[1][:2] == (-110, 0.52) and got[1][2] == pytest.approx(0.52 * (2.0 - (1 + 100 / 110)) * 100)
+    assert got[2][:2] == (150, 0.4) and got[2][2] == pytest.approx(0.4 * (2.0 - 2.5) * 100)
+    assert got[3][:2] == (110, 0.48) and got[3][2] == pytest.approx(0.48 * (2.2 - 2.1) * 100)
+    assert got[4] == (None, None, None)
