@@ -119,6 +119,8 @@ def fit(labelled: DataFrame) -> np.ndarray:
     rows = count_cells(labelled).filter(F.col("verdict").isin("allow", "block")).toPandas()
     for v, part in rows.groupby("verdict"):
         tables[v][part["cell"].to_numpy()] = part["n"].to_numpy()
+    if not tables["allow"].any() or not tables["block"].any():  # nothing to tell apart
+        return np.zeros(KINDS ** (ORDER + 1), np.float32)
     return log_probabilities(tables["allow"]) - log_probabilities(tables["block"])
 
 

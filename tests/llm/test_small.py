@@ -157,3 +157,20 @@ def test_stretches_of_short_sentences(spark):
     assert got[1] == (2, 3, 3, f"Cut in {said[0]} \nOwn end. {other}")
     assert got[0][:2] == (1, 0) and got[0][2] >= 4
     assert [g[1] for g in got[2:]] == [0, 0]
+
+
+def test_urls_of_one_side_only_are_allowed(spark):
+    rows = [(k, f"http://a{k}.net/p/{k}") for k in range(40)] + [(100, "http://s3.xnet.com/p/3")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[100] == "allow" and got[3] == "block"
+
+
+def test_a_ledger_of_some_rules(spark):
+    docs = spark.createDataFrame([(1, "password = abcdef123 and AKIA" + "A" * 16), (2, "nothing"), (3, None)], "doc_id long, text string")
+    rules = secret_scan.BASE_RULES
+    ledger = secret_scan.scan_blobs(docs, rules=rules[:1])
+    more = secret_scan.scan_blobs(docs, ledger, rules=rules)
+    assert ledger.count() == 3 and sorted({r.kind for r in more.collect()}) == ["access", "hex"] and more.count() == 6
+    assert secret_scan.scan_blobs(docs, ledger.unionByName(more), rules=rules).count() == 0
+    rows = lambda x: sorted(map(tuple, secret_scan.secret_findings(docs, x, rules=rules).collect()), key=str)
+    assert rows(ledger) == rows(None)
