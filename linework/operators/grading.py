@@ -44,6 +44,16 @@ def grade_picks(picks: DataFrame, games: DataFrame) -> DataFrame:
     return rows.withColumn("profit", odds.payout(F.col("result"), F.col("stake"), F.col("price")))
 
 
+def grade_props(picks: DataFrame, stats: DataFrame) -> DataFrame:
+    """Props (player_id, season, week, stat, side, line, price, stake, one_sided) with ``result`` and ``profit``.
+
+    ``stats`` is (player_id, season, week, stat, value), one row each. A prop without a value stays pending.
+    """
+    rows = picks.join(stats.withColumnRenamed("value", "actual"), ["player_id", "season", "week", "stat"], "left")
+    rows = rows.withColumn("result", grade_prop(F.col("side"), F.col("line"), F.col("actual"), F.col("one_sided")))
+    return rows.withColumn("profit", odds.payout(F.col("result"), F.col("stake"), F.col("price")))
+
+
 def closing_lines(picks: DataFrame, observed: DataFrame, games: DataFrame, fair: DataFrame) -> DataFrame:
     """Closing price and probability of each pick at its own line, and the value of its price over them.
 

@@ -10,12 +10,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf
 from .metrics import auc, binary_metrics
-from .validate import walk_forward
+from .validate import ranked, walk_forward
 
 # Spread of results around the closing line, in points.
 SD = {"spread": 13.5, "total": 10.5}
@@ -57,9 +57,8 @@ def two_arm(df: DataFrame, base: list[str], extra: list[str], y: str, *, least_t
 
 def permuted(df: DataFrame, column: str, seed: int = 5) -> DataFrame:
     """The column of another row of the same season."""
-    order = lambda s: F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64(F.lit(s), *df.columns), *df.columns))
-    other = df.select("season", F.col(column).alias("_v"), order(seed + 1).alias("_k"))
-    return df.withColumn("_k", order(seed)).join(other, ["season", "_k"]).withColumn(column, F.col("_v")).drop("_k", "_v")
+    other = ranked(df, seed + 1).select("season", F.col(column).alias("_v"), "_k")
+    return ranked(df, seed).join(other, ["season", "_k"]).withColumn(column, F.col("_v")).select(*df.columns)
 
 
 def spec_hash(spec: list[dict]) -> str:

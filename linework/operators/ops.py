@@ -22,9 +22,18 @@ def staleness(runs: DataFrame, expected: DataFrame, as_of: str) -> DataFrame:
 
 
 def alert_transitions(states: DataFrame) -> DataFrame:
-    """Rows of (alert_key, at, seq, firing) where firing flips; before the first it is off."""
-    before = F.lag("firing", 1, False).over(Window.partitionBy("alert_key").orderBy("at", "seq"))
-    return states.withColumn("was", before).filter(F.col("was") != F.col("firing")).withColumn("event", F.when(F.col("firing"), "broke").otherwise("recovered")).drop("was")
+    """Rows of (alert_key, at, seq, firing) where firing flips; before the first it is off.
+
+    Each day of a key is ordered by itself; only the last state of every day is carried over.
+    """
+    rows = states.withColumn("_day", F.col("at").cast("date"))
+    own = rows.withColumn("_own", F.lag(F.struct("firing")).over(Window.partitionBy("alert_key", "_day").orderBy("at", "seq")))
+    ends = rows.groupBy("alert_key", "_day").agg(F.max_by(F.struct("firing"), F.struct("at", "seq")).alias("_end"))
+    carried = ends.select(F.col("alert_key").alias("_key"), F.col("_day").alias("_on"), F.lag("_end").over(Window.partitionBy("alert_key").orderBy("_day")).alias("_carried"))
+    met = own.join(carried, F.col("alert_key").eqNullSafe(F.col("_key")) & F.col("_day").eqNullSafe(F.col("_on")))
+    last = F.coalesce("_own", "_carried")
+    was = F.when(last.isNull(), False).otherwise(last["firing"])
+    return met.filter(was != F.col("firing")).withColumn("event", F.when(F.col("firing"), "broke").otherwise("recovered")).select(*states.columns, "event")
 
 
 def allowed_sources(remaining_pct: Column) -> Column:

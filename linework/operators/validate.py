@@ -40,11 +40,23 @@ def summary(predicted: DataFrame, y: str, market: str | None = None) -> DataFram
     return out.withColumn("suspicious", F.col("accuracy") > TRIPWIRE)
 
 
+def ranked(df: DataFrame, seed: int) -> DataFrame:
+    """Rows with ``_k``, 1 to n within each season by a seeded hash of the row.
+
+    Rows are numbered within 65,536 ranges of the hash and each range starts where those before it
+    end, so no task sorts a whole season.
+    """
+    rows = df.withColumn("_hash", F.xxhash64(F.lit(seed), *df.columns)).withColumn("_range", F.shiftright("_hash", 48))
+    before = F.sum("count").over(Window.partitionBy("season").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.groupBy("season", "_range").count().select("season", "_range", F.coalesce(before, F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("season", "_range").orderBy("_hash", *df.columns))
+    return rows.withColumn("_within", within).join(first, ["season", "_range"]).select(*[rows[c] for c in df.columns], (F.col("_first") + F.col("_within")).alias("_k"))
+
+
 def shuffled(df: DataFrame, y: str, seed: int = 11) -> DataFrame:
     """The outcome of another row of the same season, by a seeded order; features stay."""
-    rows = df.withColumn("_k", F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)))
-    other = df.select("season", F.col(y).alias("_y"), F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64(F.lit(seed + 1), *df.columns), *df.columns)).alias("_k"))
-    return rows.join(other, ["season", "_k"]).withColumn(y, F.col("_y")).drop("_k", "_y")
+    other = ranked(df, seed + 1).select("season", F.col(y).alias("_y"), "_k")
+    return ranked(df, seed).join(other, ["season", "_k"]).withColumn(y, F.col("_y")).select(*df.columns)
 
 
 def leakage_report(df: DataFrame, features: list[str], y: str, fit_predict: FitPredict, *, least_train: int = 5, most_corr: float = 0.5) -> DataFrame:

@@ -42,20 +42,20 @@ def games_in_window(spark: SparkSession, d: str) -> DataFrame:
     return board.games_in_window(view(spark, d, "fx_games"), AS_OF).select("game_id", "season", "week")
 
 
-@query(f"SELECT season, arg_min(week, kickoff_utc) AS week FROM fx_games WHERE kickoff_utc > TIMESTAMP '{AS_OF}' GROUP BY season")
+@query(f"SELECT season, week FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY kickoff_utc, game_id) AS rn FROM fx_games WHERE kickoff_utc > TIMESTAMP '{AS_OF}') WHERE rn = 1")
 def current_week(spark: SparkSession, d: str) -> DataFrame:
     return board.current_week(view(spark, d, "fx_games"), AS_OF)
 
 
-@query(f"""WITH rq AS (SELECT bet_id AS request_id, user_id, pick_id, price, stake FROM fx_bets UNION ALL SELECT bet_id + 1000000, user_id, CASE WHEN bet_id % 3 = 0 THEN -1 ELSE pick_id END, NULL, NULL FROM fx_bets WHERE bet_id % 2 = 0),
-f AS (SELECT user_id, pick_id, min(request_id) AS first_id FROM rq GROUP BY ALL), had AS (SELECT DISTINCT user_id, pick_id FROM fx_bets WHERE bet_id % 5 = 0)
+@query(f"""WITH rq AS (SELECT bet_id AS request_id, user_id, pick_id, price, stake FROM fx_bets UNION ALL SELECT bet_id + 1000000000000, user_id, CASE WHEN bet_id % 3 = 0 THEN -1 ELSE pick_id END, NULL, NULL FROM fx_bets),
+f AS (SELECT user_id, pick_id, min(request_id) AS first_id FROM rq GROUP BY ALL), had AS (SELECT DISTINCT user_id, pick_id FROM fx_bets WHERE stake = 2.0)
 SELECT request_id, coalesce(rq.price, p.price) AS price, coalesce(rq.stake, p.stake) AS stake, CASE WHEN p.price IS NULL THEN 'no_pick' WHEN g.kickoff_utc <= TIMESTAMP '{AS_OF}' THEN 'started' WHEN had.user_id IS NOT NULL OR request_id <> first_id THEN 'duplicate' ELSE 'ok' END AS reason
 FROM rq LEFT JOIN fx_picks p USING (pick_id) LEFT JOIN fx_games g ON g.game_id = p.game_id LEFT JOIN had ON had.user_id = rq.user_id AND had.pick_id = rq.pick_id JOIN f ON f.user_id = rq.user_id AND f.pick_id = rq.pick_id""")
 def accepted_bets(spark: SparkSession, d: str) -> DataFrame:
     bets = view(spark, d, "fx_bets")
     asked = bets.select(F.col("bet_id").alias("request_id"), "user_id", "pick_id", "price", "stake")
-    again = bets.filter("bet_id % 2 = 0").select((F.col("bet_id") + 1000000).alias("request_id"), "user_id", F.when(F.col("bet_id") % 3 == 0, F.lit(-1)).otherwise(F.col("pick_id")).cast("long").alias("pick_id"), F.lit(None).cast("int").alias("price"), F.lit(None).cast("double").alias("stake"))
-    out = board.accept_bets(asked.unionByName(again), view(spark, d, "fx_picks"), view(spark, d, "fx_games"), bets.filter("bet_id % 5 = 0"), AS_OF)
+    again = bets.select((F.col("bet_id") + 10**12).alias("request_id"), "user_id", F.when(F.col("bet_id") % 3 == 0, F.lit(-1)).otherwise(F.col("pick_id")).cast("long").alias("pick_id"), F.lit(None).cast("int").alias("price"), F.lit(None).cast("double").alias("stake"))
+    out = board.accept_bets(asked.unionByName(again), view(spark, d, "fx_picks"), view(spark, d, "fx_games"), bets.filter("stake = 2.0"), AS_OF)
     return out.select("request_id", "price", "stake", "reason")
 
 

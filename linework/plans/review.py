@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import odds
-from ..operators import board, ops, panel
+from ..operators import board, grading, ops, panel
 from ..sources.fixtures import view, with_views
 from .market import AS_OF, r
 
@@ -71,3 +71,36 @@ def golden_case_scores(spark: SparkSession, d: str) -> DataFrame:
 def frequent_errors(spark: SparkSession, d: str) -> DataFrame:
     message = F.concat(F.lit("quote "), F.col("pick_id").cast("string"), F.lit(" of '"), F.col("side"), F.lit("' lacks "), F.col("market_type"))
     return ops.error_summary(view(spark, d, "fx_picks").select(message.alias("message")))
+
+
+NOW = "2024-01-20 00:00:00"
+
+
+@query(f"""WITH ok AS (SELECT count(*) AS reviews FROM fx_runs WHERE status = 'ok' AND source = 'manual' AND finished_at <= TIMESTAMP '{NOW}' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(finished_at)) <= 21600), made AS (SELECT count(*) AS calls FROM fx_runs WHERE finished_at <= TIMESTAMP '{NOW}' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(finished_at)) <= 21600),
+missed AS (SELECT count(*) AS n FROM fx_picks LEFT JOIN (SELECT game_id, kickoff_utc + INTERVAL '8207' DAY AS kickoff_utc FROM fx_games) g USING (game_id) WHERE published = 1 AND tier = 'C' AND (kickoff_utc IS NULL OR kickoff_utc > TIMESTAMP '{NOW}')) SELECT reviews, calls, CASE WHEN reviews > 0 THEN n ELSE 0 END AS unreviewed FROM ok, made, missed""")
+def review_coverage(spark: SparkSession, d: str) -> DataFrame:
+    runs = view(spark, d, "fx_runs")
+    judged = view(spark, d, "fx_picks").withColumn("verdict", F.when(F.col("tier") != "C", "OK"))
+    games = view(spark, d, "fx_games").withColumn("kickoff_utc", F.expr("kickoff_utc + INTERVAL '8207' DAY"))
+    return board.review_coverage(runs.filter("source = 'manual'"), judged, games, runs.select(F.col("finished_at").alias("at")), NOW)
+
+
+@query("SELECT game_id FROM fx_games WHERE kickoff_utc > TIMESTAMP '2001-08-01 12:00:00' AND CAST((kickoff_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) = DATE '2001-08-01'")
+def games_today(spark: SparkSession, d: str) -> DataFrame:
+    return board.games_today(view(spark, d, "fx_games"), "2001-08-01 12:00:00").select("game_id")
+
+
+@query("""WITH pk AS (SELECT report_id AS pick_id, player_id, season, week, CASE position WHEN 'QB' THEN 'yards' WHEN 'S' THEN 'touchdowns' ELSE 'volume' END AS stat, CASE WHEN report_status = 'Out' THEN 'under' ELSE 'over' END AS side, position = 'TE' AS one_sided, CASE position WHEN 'QB' THEN 500.0::DOUBLE ELSE 1.0::DOUBLE END AS line FROM fx_reports),
+st AS (SELECT player_id, season, week, 'yards' AS stat, CAST(yards AS DOUBLE) AS v FROM fx_usage UNION ALL SELECT player_id, season, week, 'volume', CAST(volume AS DOUBLE) FROM fx_usage),
+g AS (SELECT pick_id, CASE WHEN v IS NULL THEN 'pending' WHEN one_sided THEN CASE WHEN (side = 'over') = (v >= 1) THEN 'win' ELSE 'loss' END WHEN abs(v - line) < 1e-9 THEN 'push' WHEN (side = 'over') = (v > line) THEN 'win' ELSE 'loss' END AS result FROM pk LEFT JOIN st USING (player_id, season, week, stat))
+SELECT pick_id, result, CASE result WHEN 'win' THEN 2.2::DOUBLE WHEN 'loss' THEN -2.0 ELSE 0.0 END AS profit FROM g""")
+def graded_props(spark: SparkSession, d: str) -> DataFrame:
+    position = F.col("position")
+    stat = F.when(position == "QB", "yards").when(position == "S", "touchdowns").otherwise("volume")
+    side = F.when(F.col("report_status") == "Out", "under").otherwise("over")
+    props = view(spark, d, "fx_reports").select(
+        F.col("report_id").alias("pick_id"), "player_id", "season", "week", stat.alias("stat"), side.alias("side"), (position == "TE").alias("one_sided"),
+        F.when(position == "QB", 500.0).otherwise(1.0).alias("line"), F.lit(110).alias("price"), F.lit(2.0).alias("stake"))
+    usage = view(spark, d, "fx_usage")
+    long = [usage.select("player_id", "season", "week", F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in ("yards", "volume")]
+    return grading.grade_props(props, long[0].unionByName(long[1])).select("pick_id", "result", r("profit"))

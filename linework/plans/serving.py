@@ -58,9 +58,9 @@ def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
     return identity.resolution_counts(_resolved(spark, d))
 
 
-@query("SELECT g.game_id FROM fx_games g WHERE NOT EXISTS (SELECT 1 FROM fx_picks p WHERE p.game_id = g.game_id AND p.pick_id % 611 = 0)")
+@query("SELECT g.game_id FROM fx_games g WHERE NOT EXISTS (SELECT 1 FROM fx_picks p WHERE p.game_id = g.game_id AND p.tier = 'A' AND p.demo = 1)")
 def missing_weather(spark: SparkSession, d: str) -> DataFrame:
-    return identity.missing_weather(view(spark, d, "fx_games"), view(spark, d, "fx_picks").filter("pick_id % 611 = 0")).select("game_id")
+    return identity.missing_weather(view(spark, d, "fx_games"), view(spark, d, "fx_picks").filter("tier = 'A' and demo = 1")).select("game_id")
 
 
 @query("SELECT report_id, CASE report_status WHEN 'Out' THEN 'Out' ELSE report_status END AS game_status, CASE WHEN practice_status LIKE 'Did Not%' THEN 'DNP' WHEN practice_status LIKE 'Limited%' THEN 'LP' WHEN practice_status LIKE 'Full%' THEN 'FP' END AS practice FROM fx_reports")
@@ -120,7 +120,7 @@ def budget_state(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT pick_id, CASE WHEN pick_id % 7 = 1 AND tier = 'A' THEN 'B' ELSE tier END AS tier, CASE WHEN pick_id % 7 = 2 THEN 0 ELSE published END AS published FROM fx_picks")
 def applied_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "fx_picks")
-    verdicts = rows.filter("pick_id % 7 in (1, 2)").select("pick_id", F.when(F.col("pick_id") % 7 == 1, "FLAG").otherwise("KILL").alias("verdict"))
+    verdicts = rows.select("pick_id", F.when(F.col("pick_id") % 7 == 1, "FLAG").when(F.col("pick_id") % 7 == 2, "KILL").otherwise("OK").alias("verdict"))
     return ops.apply_verdicts(rows, verdicts).select("pick_id", "tier", "published")
 
 

@@ -22,16 +22,16 @@ SELECT game_id, market_type, '' AS player_id, side,
 FROM (
  SELECT *, CASE WHEN broken=1 THEN 0.99 ELSE (CASE WHEN side IN ('home','over') THEN p0 ELSE 1-p0 END)*1.045 + noise END AS raw
  FROM (
-  SELECT l_partkey%200 AS game_id,
+  SELECT game_id,
    CASE l_returnflag WHEN 'A' THEN 'h2h' WHEN 'N' THEN 'spreads' ELSE 'totals' END AS market_type,
    CASE WHEN l_returnflag='R' THEN (CASE WHEN l_linestatus='O' THEN 'over' ELSE 'under' END) ELSE (CASE WHEN l_linestatus='O' THEN 'home' ELSE 'away' END) END AS side,
    l_suppkey%23 AS book_no,
-   -(CAST((l_partkey%200) % 7 AS DOUBLE) + 0.5 * CAST(CASE WHEN (l_suppkey%23)%5=0 THEN 1 ELSE 0 END AS DOUBLE) + 0.5) * (CASE WHEN l_returnflag='R' THEN -7.0 ELSE 1.0 END) AS base_line,
-   0.35 + 0.30*(((l_partkey%200)*37)%100)/100.0 AS p0,
+   -(CAST(game_id % 7 AS DOUBLE) + 0.5 * CAST(CASE WHEN (l_suppkey%23)%5=0 THEN 1 ELSE 0 END AS DOUBLE) + 0.5) * (CASE WHEN l_returnflag='R' THEN -7.0 ELSE 1.0 END) AS base_line,
+   0.35 + 0.30*((game_id*37)%100)/100.0 AS p0,
    (CAST(l_quantity AS INT)%7 - 3)*0.004 AS noise,
-   CASE WHEN (l_suppkey%23)=7 AND (l_partkey%200)%11=0 THEN 1 ELSE 0 END AS broken,
+   CASE WHEN (l_suppkey%23)=7 AND game_id%11=0 THEN 1 ELSE 0 END AS broken,
    l_shipdate AS observed_at, l_orderkey*10+l_linenumber AS seq
-  FROM lineitem) a ) b
+  FROM (SELECT *, CAST(floor(l_partkey/10) AS BIGINT) AS game_id FROM lineitem) l) a ) b
 """,
 )
 
@@ -40,10 +40,10 @@ _block(
     """
 SELECT game_id, 1995 + game_id%7 AS season, 1 + game_id%18 AS week,
   concat('T',CAST(game_id%16 AS VARCHAR(2))) AS home_team, concat('T',CAST((game_id+1+(game_id*5)%15)%16 AS VARCHAR(2))) AS away_team,
-  CASE WHEN game_id%29=0 THEN NULL ELSE CAST('2001-05-01 17:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(game_id AS INT) END AS kickoff_utc,
+  CASE WHEN game_id%29=0 THEN NULL ELSE CAST('2001-05-01 17:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST((game_id*37)%211 AS INT) END AS kickoff_utc,
   CAST((game_id*13)%41 AS INT) AS home_score, CAST((game_id*29)%38 AS INT) AS away_score,
   CAST(game_id%7 AS DOUBLE) + 0.5 AS spread_line, 40.0 + CAST(game_id%9 AS DOUBLE) AS total_line
-FROM (SELECT DISTINCT l_partkey%200 AS game_id FROM lineitem) g
+FROM (SELECT DISTINCT CAST(floor(l_partkey/10) AS BIGINT) AS game_id FROM lineitem) g
 """,
 )
 
@@ -79,7 +79,7 @@ _block(
     """
 SELECT concat('P',CAST(user_id AS VARCHAR(6))) AS player_id, concat('T',CAST(user_id%16 AS VARCHAR(2))) AS team, 2024 AS season,
   1 + CAST(floor((dayofmonth(ts)-1)/2.0) AS INT) AS week, count(*) AS volume, round(sum(value),2) AS yards, round(avg(value)/500.0,6) AS snap_pct
-FROM events WHERE event_id%3<>0 GROUP BY 1,2,3,4
+FROM events GROUP BY 1,2,3,4
 """,
 )
 
@@ -95,7 +95,7 @@ SELECT l_orderkey*10+l_linenumber AS row_id, CAST(year(l_shipdate) AS INT) AS se
 _block(
     "fx_picks",
     """
-SELECT o_orderkey AS pick_id, o_orderkey % 200 AS game_id,
+SELECT o_orderkey AS pick_id, CAST(floor(o_orderkey/75) AS BIGINT) AS game_id,
   CASE o_orderkey % 3 WHEN 0 THEN 'h2h' WHEN 1 THEN 'spreads' ELSE 'totals' END AS market_type,
   CASE WHEN o_orderkey % 3 = 2 THEN (CASE WHEN o_custkey % 2 = 0 THEN 'over' ELSE 'under' END) ELSE (CASE WHEN o_custkey % 2 = 0 THEN 'home' ELSE 'away' END) END AS side,
   CASE o_orderkey % 3 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(o_custkey % 15 AS DOUBLE) - 7.0 ELSE 30.0 + CAST(o_custkey % 30 AS DOUBLE) END AS line,
@@ -136,7 +136,7 @@ _block(
 SELECT o_orderkey AS bet_id, concat('u', CAST(o_custkey % 50 AS VARCHAR(4))) AS user_id, o_orderkey AS pick_id,
   CASE WHEN o_custkey % 2 = 0 THEN CAST(95 + o_custkey % 150 AS INT) ELSE -CAST(105 + o_custkey % 150 AS INT) END AS price,
   1.0 + 0.5 * CAST(o_custkey % 3 AS DOUBLE) AS stake
-FROM orders WHERE o_custkey % 4 = 1
+FROM orders
 """,
 )
 

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linework.operators import identity, metrics, ops, panel, ratings, warehouse
+from linework.operators import identity, metrics, models, ops, panel, ratings, validate, warehouse
 from linework.functions.names import normal_name
 from linework.sources.fixtures import view
 
@@ -107,3 +108,25 @@ def test_budget_ladder_is_strict(spark):
 def test_poll_bounds_are_inclusive(spark):
     df = spark.createDataFrame([(2.0,), (2.1,), (72.0,), (72.5,)], "h double").select(ops.interval_minutes(F.col("h"), "props"))
     assert [r[0] for r in df.collect()] == [20, 60, 360, None]
+
+
+def test_alerts_over_days_equal_one_ordered_walk(spark):
+    rows = [(f"k{k % 3}" if k % 5 else None, None if k % 17 == 0 else f"2024-01-{1 + (k * 7) % 9:02d} {k % 24:02d}:30:00", k, (k * k) % 3 == 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "alert_key string, at string, seq int, firing boolean").withColumn("at", F.col("at").cast("timestamp"))
+    want, was = set(), {}
+    for key, at, seq, firing in sorted(rows, key=lambda x: (x[1] or "", x[2])):
+        if firing != was.get(key, False):
+            want.add((key, seq, "broke" if firing else "recovered"))
+        was[key] = firing
+    assert {(r.alert_key, r.seq, r.event) for r in ops.alert_transitions(df).collect()} == want
+    assert ops.alert_transitions(df.limit(0)).collect() == []
+
+
+def test_ranks_by_ranges_equal_one_window(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 2 * (id % 3) as int) as season", "id * 7 % 11 as y")
+    plain = df.withColumn("k", F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64(F.lit(4), *df.columns), *df.columns)))
+    assert {tuple(r) for r in validate.ranked(df, 4).collect()} == {tuple(r) for r in plain.collect()}
+    moved = validate.shuffled(df, "y")
+    sums = lambda x: sorted(map(tuple, x.groupBy("season", "y").count().collect()))
+    assert moved.columns == df.columns and sums(moved) == sums(df) and moved.exceptAll(df).count() > 1000
+    assert sums(models.permuted(df, "y")) == sums(df)
