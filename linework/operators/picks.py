@@ -30,6 +30,11 @@ def thresholds(kind: str, tier: str) -> tuple[float, int, bool, float]:
     return edge * EDGE_SCALE[kind], max(4, round(books * BOOK_SCALE[kind])), sharp and kind == "game", spread * (1.5 if kind == "prop" else 1.0)
 
 
+def loosest_books() -> int:
+    """The least books that any class asks for: what a search of opportunities for all classes must let through."""
+    return min(thresholds(kind, "C")[1] for kind in BOOK_SCALE)
+
+
 def assign_tier(opps: DataFrame) -> DataFrame:
     """``bet_class`` and ``tier``: the first of A, B, C whose bar for the class is cleared, else null."""
     kind, spread = F.col("bet_class"), F.coalesce("dispersion", F.lit(0.0))

@@ -119,11 +119,24 @@ def test_reprice_only_withdraws(spark):
     side = "game_id long, market_type string, player_id string, side string, line double"
     pending = spark.createDataFrame([(1, "h2h", "", "home", 0.0, True), (2, "h2h", "", "home", 0.0, False), (3, "h2h", "", "home", 0.0, True), (4, "h2h", "", "home", 0.0, True)], f"{side}, published boolean")
     best = spark.createDataFrame([(1, "h2h", "", "home", 0.0, -150), (2, "h2h", "", "home", 0.0, 120), (4, "h2h", "", "home", 0.0, 110)], f"{side}, best_price int")
-    fair = spark.createDataFrame([(k, "h2h", "", "home", 0.0, 0.5, 20) for k in (1, 2, 3, 4)], f"{side}, fair_prob double, book_count int")
+    columns = f"{side}, fair_prob double, book_count int, sharp_prob double, dispersion double"
+    fair = spark.createDataFrame([(k, "h2h", "", "home", 0.0, 0.5, 20, None, 0.0) for k in (1, 2, 3, 4)], columns)
     got = {r.game_id: r.still_published for r in picks.reprice(pending, best, fair).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True}
 
 
+def test_reprice_asks_for_the_bar_of_the_class_on_the_anchor(spark):
+    side = "game_id long, market_type string, player_id string, side string, line double"
+    # Edges of 2.9 and 3.3 percent: enough for a game (2.0), and only the second for a prop (3.2).
+    rows = [(1, "h2h", 0.49, None, 20, 0.0), (2, "receptions", 0.49, None, 20, 0.0), (3, "receptions", 0.492, None, 20, 0.0), (4, "h2h", 0.49, 0.47, 20, 0.0), (5, "h2h", 0.47, 0.49, 20, 0.0), (6, "h2h", 0.49, None, 20, 0.16), (7, "h2h", 0.49, None, 7, 0.0), (8, "h2h", 0.7, None, 20, 0.0)]
+    keys = lambda g, m: (g, m, "", "over", 4.5)
+    fair = spark.createDataFrame([(*keys(g, m), p, n, sharp, spread) for g, m, p, sharp, n, spread in rows], f"{side}, fair_prob double, book_count int, sharp_prob double, dispersion double")
+    best = spark.createDataFrame([(*keys(g, m), 110) for g, m, *_ in rows], f"{side}, best_price int")
+    pending = spark.createDataFrame([(*keys(g, m), True) for g, m, *_ in rows], f"{side}, published boolean")
+    got = {r.game_id: r.still_published for r in picks.reprice(pending, best, fair).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: False, 8: False}
+
+
 def test_loosest_books_is_reachable():
     assert picks.loosest_books() == 4 and picks.thresholds("prop", "A")[1] == 8
 
