@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, gru_lm, language_id, line_dedup, near_dedup, passage_dedup, quality, secret_scan, token_counts, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, gru_lm, language_id, line_dedup, near_dedup, passage_dedup, periodic_runs, quality, secret_scan, token_counts, url_filter, whitening
 from .common import table
 
 
@@ -66,6 +66,18 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op7_every_line, op7_passage_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_url_filter, op4_near_dedup, op5_token_counts, op6_bpe_codec, op7_line_dedup, op7_every_line, op7_passage_dedup, op8_quality_rules, op9_decontaminate, op10_gru_lm, op11_periodic_runs, op12_exact_dedup, op13_whitening, pipeline)}
 
 
 #: The twin of ``op7_line_dedup`` (and, with whole lines, of ``op7_every_line``).
@@ -90,6 +102,12 @@ SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0)
 """
 SENTENCES = r"regexp_replace(coalesce(text, ''), '([.!?])[\x20\t]', '\1' || chr(10), 'g')"
 
+EXACT = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER best = 1 AS kept, text_sha256
+FROM n WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINES.replace("{text}", SENTENCES).replace("{least}", "30"), "op7_every_line": LINES.replace("{text}", "coalesce(text, '')").replace("{least}", "1")}
+    return {"op12_exact_dedup": EXACT, "op7_line_dedup": LINES.replace("{text}", SENTENCES).replace("{least}", "30"), "op7_every_line": LINES.replace("{text}", "coalesce(text, '')").replace("{least}", "1")}
