@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Halvings of the bracket in the power method; beyond double precision.
-HALVINGS = 60
+#: Newton steps to double precision. Both functions are convex and falling, so from the left of the root
+#: each step stays on the left: powers start from exponent 1 (0 where the sum is under 1), Shin's share from 0.
+POWER_STEPS, SHIN_STEPS = 12, 8
 
 
 def implied_probability(price: Column) -> Column:
@@ -66,18 +67,15 @@ def additive(a: Column, b: Column) -> Column:
 
 
 def power(a: Column, b: Column) -> Column:
-    """a^k with k such that a^k + b^k = 1, by a fixed number of halvings of log2(k) in [-6, 6]."""
-    both = F.struct(a.alias("a"), b.alias("b"))
-    start = F.struct(F.lit(-6.0).alias("lo"), F.lit(6.0).alias("hi"))
+    """a^k with k such that a^k + b^k = 1; null outside (0, 1)."""
+    la, lb = F.log(a), F.log(b)
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2.0
-        k = F.pow(F.lit(2.0), mid)
-        above = F.pow(a, k) + F.pow(b, k) > 1.0
-        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
+    def newton(k: Column, _: Column) -> Column:
+        wa, wb = F.exp(k * la), F.exp(k * lb)
+        return k - (wa + wb - 1.0) / (wa * la + wb * lb)
 
-    k = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: F.pow(F.lit(2.0), (s["lo"] + s["hi"]) / 2.0))
-    return F.when(both.isNotNull() & (a > 0) & (b > 0) & (a < 1) & (b < 1), F.pow(a, k))
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(POWER_STEPS)), F.when(a + b > 1.0, 1.0).otherwise(0.0), newton)
+    return F.when((a > 0) & (b > 0) & (a < 1) & (b < 1), F.exp(k * la))
 
 
 def shin(a: Column, b: Column) -> Column:
@@ -108,6 +106,98 @@ def fair_prob_min(a: Column, b: Column) -> Column:
     return F.least(*[m(a, b) for m in METHODS.values()])
 
 
+# ---- removing the margin of a market with any number of outcomes -----------------------------------
+
+
+def _total(ps: Column) -> Column:
+    return F.aggregate(ps, F.lit(0.0), lambda s, p: s + p)
+
+
+def _scaled(ps: Column) -> Column:
+    """``ps`` over their sum, which takes off what rounding left."""
+    return F.transform(F.array(F.struct(ps.alias("ps"), _total(ps).alias("t"))), lambda x: F.transform(x["ps"], lambda p: p / x["t"]))[0]
+
+
+def multiplicative_n(ps: Column) -> Column:
+    return _scaled(ps)
+
+
+def additive_n(ps: Column) -> Column:
+    """An equal part of the margin off each outcome; multiplicative where one would fall to 0 or under."""
+    excess = (_total(ps) - 1.0) / F.size(ps)
+    taken = F.transform(ps, lambda p: p - excess)
+    return F.when(F.array_min(ps) > excess, taken).otherwise(_scaled(ps))
+
+
+def power_n(ps: Column) -> Column:
+    """p^k with the k that makes the sum 1; a single outcome is certain."""
+    logs = F.transform(ps, lambda p: F.log(p))
+
+    def newton(k: Column, _: Column) -> Column:
+        # The sums of p^k and of its derivative, in one walk over the outcomes.
+        at = F.aggregate(logs, F.struct(F.lit(-1.0).alias("f"), F.lit(0.0).alias("d")), lambda s, x: F.struct((s["f"] + F.exp(k * x)).alias("f"), (s["d"] + x * F.exp(k * x)).alias("d")))
+        return F.transform(F.array(at), lambda a: k - a["f"] / a["d"])[0]
+
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(POWER_STEPS)), F.when(_total(ps) > 1.0, 1.0).otherwise(0.0), newton)
+    solved = F.transform(F.array(k), lambda e: F.transform(logs, lambda x: F.exp(e * x)))[0]
+    return F.when(F.size(ps) > 1, _scaled(solved)).otherwise(F.transform(ps, lambda p: F.lit(1.0)))
+
+
+#: Fixed value: the largest share of insiders that Shin's method considers.
+MOST_INSIDERS = 0.99
+
+
+def _shin_fair(z: Column, c: Column) -> Column:
+    return (F.sqrt(z * z + 4.0 * (1.0 - z) * c) - z) / (2.0 * (1.0 - z))
+
+
+def _shin_parts(ps: Column) -> Column:
+    total = _total(ps)
+    return F.transform(F.array(F.struct(ps.alias("ps"), total.alias("t"))), lambda x: F.transform(x["ps"], lambda p: p * p / x["t"]))[0]
+
+
+def shin_applies(ps: Column) -> Column:
+    """Whether some share of insiders up to 0.99 explains the margin."""
+    most = F.aggregate(_shin_parts(ps), F.lit(0.0), lambda s, c: s + _shin_fair(F.lit(MOST_INSIDERS), c))
+    return (_total(ps) > 1.0) & (most <= 1.0)
+
+
+def shin_n(ps: Column) -> Column:
+    """Shin's prices: a share z of the money knows the outcome. Where no z explains the margin, the power method."""
+    parts = _shin_parts(ps)
+
+    def newton(z: Column, _: Column) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            root = F.sqrt(z * z + 4.0 * (1.0 - z) * c)
+            slope = ((z - 2.0 * c) / root - 1.0) / (2.0 * (1.0 - z)) + (root - z) / (2.0 * (1.0 - z) * (1.0 - z))
+            return F.struct((s["f"] + (root - z) / (2.0 * (1.0 - z))).alias("f"), (s["d"] + slope).alias("d"))
+
+        at = F.aggregate(parts, F.struct(F.lit(-1.0).alias("f"), F.lit(0.0).alias("d")), add)
+        return F.transform(F.array(at), lambda a: F.least(F.greatest(z - a["f"] / a["d"], F.lit(0.0)), F.lit(MOST_INSIDERS)))[0]
+
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), F.lit(0.0), newton)
+    solved = F.transform(F.array(z), lambda share: F.transform(parts, lambda c: _shin_fair(share, c)))[0]
+    return F.when(shin_applies(ps), _scaled(solved)).otherwise(power_n(ps))
+
+
+METHODS_N: dict[str, Callable[[Column], Column]] = {"multiplicative": multiplicative_n, "additive": additive_n, "power": power_n, "shin": shin_n}
+
+
+def devig_n(ps: Column, method: str = "power") -> Column:
+    """struct<probs, method_used> from the implied probabilities of all outcomes of a market.
+
+    The name is that of the method that gave the values. Null for an empty array and where a
+    probability is null or outside (0, 1).
+    """
+    used = F.lit(method)
+    if method == "additive":
+        used = F.when(F.array_min(ps) > (_total(ps) - 1.0) / F.size(ps), "additive").otherwise("multiplicative")
+    if method == "shin":
+        used = F.when(shin_applies(ps), "shin").otherwise("power")
+    fine = (F.size(ps) > 0) & F.forall(ps, lambda p: F.coalesce((p > 0) & (p < 1), F.lit(False)))
+    return F.when(fine, F.struct(METHODS_N[method](ps).alias("probs"), used.alias("method_used")))
+
+
 # ---- sides and lines -----------------------------------------------------------------------
 
 # Kinds of markets by how their two sides pair.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds
@@ -39,6 +39,41 @@ def fair_prices(quotes: DataFrame, *, sharp: tuple[str, ...] = ("pinnacle",), we
     return grouped.select(*MARKET, "side", line.alias("line"), weighted_median(F.col("entries")).alias("fair_prob"), "sharp_prob", "book_count", "dispersion", "method_used")
 
 
+def field_prices(quotes: DataFrame, *, sharp: tuple[str, ...] = ("pinnacle",), weights: Mapping[str, float] = BOOK_WEIGHTS, method: str = "power") -> DataFrame:
+    """Fair prices of markets with any number of outcomes: three-way moneylines, winners, first scorers.
+
+    (market, line, side, n_sides, fair_prob, sharp_prob, book_count, dispersion, method_used), an
+    outcome a row. A book's margin is removed over all outcomes at once, so a book counts only where it
+    quotes every outcome that any book quotes, once and with a valid price. The median of books over the
+    outcomes need not sum to 1, so it is scaled to. One shuffle by book and market, one by market;
+    arrays are as long as the market has outcomes or the outcome has books.
+    """
+    key = [*MARKET, "line"]
+    prob = odds.implied_probability(F.col("price"))
+    field = quotes.groupBy(*key, "book").agg(F.sort_array(F.collect_list(F.struct("side", prob.alias("p")))).alias("q"))
+    names = F.transform("q", lambda x: x["side"])
+    one = field.withColumn("names", names).filter(F.size(F.array_distinct("names")) == F.size("names"))
+    fair = odds.devig_n(F.transform("q", lambda x: x["p"]), method)
+    books = one.withColumn("fair", fair).groupBy(*key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("every"),
+        F.collect_list(F.when(F.col("fair").isNotNull(), F.struct("book", "names", F.col("fair.probs").alias("probs"), F.col("fair.method_used").alias("method_used")))).alias("books"),
+    )
+    whole = books.withColumn("books", F.filter("books", lambda b: b["names"] == F.col("every")))
+    weight = lambda book: F.coalesce(F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])[book], F.lit(1.0)) if weights else F.lit(1.0)
+    sides = whole.filter(F.size("books") > 0).select(*key, "books", F.size("every").alias("n_sides"), F.posexplode("every").alias("_i", "side"))
+    at = lambda b: F.get(b["probs"], F.col("_i"))
+    keen = F.transform(F.filter("books", lambda b: b["book"].isin(*sharp)), at)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    every = F.transform("books", at)
+    rows = sides.select(
+        *key, "side", "n_sides", weighted_median(F.transform("books", lambda b: F.struct(at(b).alias("v"), weight(b["book"]).alias("w")))).alias("_median"),
+        F.when(F.size(keen) > 0, mean(keen)).alias("sharp_prob"), F.size("books").cast("long").alias("book_count"), every.alias("_every"), mean(every).alias("_mean"), F.array_max(F.transform("books", lambda b: b["method_used"])).alias("method_used"),
+    )
+    spread = F.sqrt(F.aggregate("_every", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_every"))
+    total = F.sum("_median").over(Window.partitionBy(*key))
+    return rows.select(*key, "side", "n_sides", (F.col("_median") / total).alias("fair_prob"), "sharp_prob", "book_count", spread.alias("dispersion"), "method_used")
+
+
 def sharp_soft(fair: DataFrame, *, least_gap: float = 0.02, least_books: int = 3) -> DataFrame:
     """Market sides where the sharp books differ from the consensus, the widest gap first."""
     gap = F.col("sharp_prob") - F.col("fair_prob")

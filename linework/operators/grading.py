@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import odds
-from .shop import SIDE
 from ..functions.stats import wilson
+from .quotes import current_quotes
+from .shop import SIDE
 
 TIE = 1e-9
 SETTLED = ("win", "loss", "push")
@@ -54,20 +55,49 @@ def grade_props(picks: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.withColumn("profit", odds.payout(F.col("result"), F.col("stake"), F.col("price")))
 
 
-def closing_lines(picks: DataFrame, observed: DataFrame, games: DataFrame, fair: DataFrame) -> DataFrame:
+def closing_quotes(observed: DataFrame, games: DataFrame) -> DataFrame:
+    """The last quote of each key at or before its own game's kickoff, by time of observation.
+
+    What was seen after kickoff changes nothing, whenever it arrives; games without a kickoff have no
+    closing quotes. The closing price and the closing consensus are both made of these.
+    """
+    kickoffs = games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc")
+    return current_quotes(observed.join(kickoffs, "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc")))
+
+
+def closing_lines(picks: DataFrame, closing: DataFrame, fair: DataFrame) -> DataFrame:
     """Closing price and probability of each pick at its own line, and the value of its price over them.
 
-    The closing price is the best of the books' last prices before kickoff for the pick's market,
-    player, side and line; quotes after kickoff never count, however late they came. ``clv_pct`` is
-    the edge of the pick's price less that of the closing price, both at the fair probability of
-    that line (the sharp books' where there is one); null where either is missing.
+    ``closing`` are the closing quotes and ``fair`` the consensus of the same. The closing price is the
+    best of all books at the pick's market, player, side and line. ``clv_pct`` is the edge of the pick's
+    price less that of the closing price, both at the fair probability of that line (the sharp
+    books' where there is one); null where either is missing.
     """
-    before = observed.join(games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc"), "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc"))
-    last = before.groupBy(*SIDE, "book").agg(F.max_by("price", F.struct("observed_at", "seq")).alias("price"))
-    close = last.groupBy(*SIDE).agg(F.max("price").alias("closing_price"), F.count(F.lit(1)).alias("closing_books"))
+    close = closing.groupBy(*SIDE).agg(F.max("price").alias("closing_price"), F.count(F.lit(1)).alias("closing_books"))
     prob = fair.select(*SIDE, F.when(F.col("sharp_prob") > 0, F.col("sharp_prob")).otherwise(F.col("fair_prob")).alias("closing_prob"))
-    clv = odds.edge_pct(F.col("closing_prob"), F.col("price")) - odds.edge_pct(F.col("closing_prob"), F.col("closing_price"))
-    return picks.join(close, SIDE, "left").join(prob, SIDE, "left").withColumn("clv_pct", clv)
+    met = picks.join(close, SIDE, "left").join(prob, SIDE, "left")
+    return met.withColumn("clv_pct", closing_value(F.col("closing_prob"), F.col("price"), F.col("closing_price")))
+
+
+def closing_value(prob: Column, price: Column, closing_price: Column) -> Column:
+    return odds.edge_pct(prob, price) - odds.edge_pct(prob, closing_price)
+
+
+def user_closing_value(bets: DataFrame, closed: DataFrame) -> DataFrame:
+    """Bets with the closing price of their pick and the value of the user's own price over it; bets of unknown picks have neither."""
+    met = bets.join(closed.select("pick_id", "closing_price", "closing_prob"), "pick_id", "left")
+    return met.withColumn("clv_pct", closing_value(F.col("closing_prob"), F.col("price"), F.col("closing_price")))
+
+
+def track_record(graded: DataFrame, closed: DataFrame, bets: DataFrame, *by: str) -> DataFrame:
+    """The record with closing value: (by, picks, ..., roi_pct, n_closed, avg_clv_pct, beat_close, n_bets, slippage_pct).
+
+    Slippage is what users' prices paid less than the pick's, in percent of the stake, over all bets on those picks.
+    """
+    value = closing_value_by(closed, *by).withColumnRenamed("n", "n_closed")
+    taken = bets.select("pick_id", F.col("price").alias("_own")).join(graded.select("pick_id", F.col("price").alias("_price"), *by), "pick_id")
+    slipped = taken.groupBy(*by).agg(F.count(F.lit(1)).alias("n_bets"), F.avg((odds.decimal_odds(F.col("_price")) - odds.decimal_odds(F.col("_own"))) * 100.0).alias("slippage_pct"))
+    return performance(graded, *by).join(value, [*by], "left").join(slipped, [*by], "left")
 
 
 def performance(graded: DataFrame, *by: str) -> DataFrame:

@@ -91,7 +91,7 @@ def book_pairs(spark: SparkSession, d: str) -> DataFrame:
     return quotes.priced_pairs(_current(spark, d)).select("game_id", "market_type", "pair_line", "book", "price_a", "price_b", r("hold_pct"), "plausible")
 
 
-@query(f"""WITH {PAIRS}, bis AS (SELECT *, list_reduce(range(60), lambda s, i: CASE WHEN prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) + prob_b ** (2.0 ** ((s[1] + s[2]) / 2.0)) > 1.0 THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [-6.0::DOUBLE, 6.0::DOUBLE]) AS s FROM pairs)
+@query(f"""WITH {PAIRS}, bis AS (SELECT *, list_reduce(range(60), lambda s, i: CASE WHEN prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) + prob_b ** (2.0 ** ((s[1] + s[2]) / 2.0)) > 1.0 THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [-7.0::DOUBLE, 7.0::DOUBLE]) AS s FROM pairs)
 SELECT game_id, market_type, pair_line, book, round(prob_a / (prob_a + prob_b), 6) AS multiplicative,
   round(CASE WHEN prob_a - (prob_a + prob_b - 1) / 2 > 0 AND prob_b - (prob_a + prob_b - 1) / 2 > 0 THEN prob_a - (prob_a + prob_b - 1) / 2 ELSE prob_a / (prob_a + prob_b) END, 6) AS additive,
   round(prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)), 6) AS power FROM bis""".replace("list_reduce(range(60)", "list_reduce(list_transform(range(60), lambda i: [i::DOUBLE])"))
@@ -107,7 +107,7 @@ def fair_prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 POWER = FAIR.replace("SELECT *, prob_a / (prob_a + prob_b) AS p FROM pairs", """SELECT *, prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) AS p FROM (SELECT *, list_reduce(list_transform(range(60), lambda i: [i::DOUBLE]),
-  lambda s, i: CASE WHEN prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) + prob_b ** (2.0 ** ((s[1] + s[2]) / 2.0)) > 1.0 THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [-6.0::DOUBLE, 6.0::DOUBLE]) AS s FROM pairs)""")
+  lambda s, i: CASE WHEN prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) + prob_b ** (2.0 ** ((s[1] + s[2]) / 2.0)) > 1.0 THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [-7.0::DOUBLE, 7.0::DOUBLE]) AS s FROM pairs)""")
 
 
 @query(f"WITH {POWER} SELECT game_id, market_type, side, line, round(fair_prob, 6) AS fair_prob, round(sharp_prob, 6) AS sharp_prob, book_count, round(dispersion, 6) AS dispersion, 'power' AS method_used FROM fair")
@@ -254,9 +254,12 @@ def performance_by_filter(spark: SparkSession, d: str) -> DataFrame:
     return _record(grading.performance_by_filter(_graded(spark, d)), "filter")
 
 
-CLOSED = FAIR + f""",
-last AS (SELECT game_id, market_type, player_id, side, line, book, arg_max(price, observed_at::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS price FROM fx_quote_obs JOIN fx_games g USING (game_id) WHERE observed_at <= g.kickoff_utc GROUP BY ALL),
-c AS (SELECT game_id, market_type, side, line, max(price) AS closing_price, count(*) AS closing_books FROM last WHERE player_id = '' GROUP BY ALL),
+#: The state of every quote key at its own game's kickoff; price and consensus of the close are both made of it.
+AT_KICKOFF = """
+cur AS (SELECT q.* FROM fx_quote_obs q JOIN fx_games g ON g.game_id = q.game_id WHERE q.observed_at <= g.kickoff_utc
+  AND NOT EXISTS (SELECT 1 FROM fx_quote_obs l WHERE l.game_id = q.game_id AND l.market_type = q.market_type AND l.player_id = q.player_id AND l.side = q.side AND l.line = q.line AND l.book = q.book AND l.observed_at <= g.kickoff_utc AND (l.observed_at > q.observed_at OR (l.observed_at = q.observed_at AND l.seq > q.seq))))"""
+CLOSED = FAIR.replace(CURRENT, AT_KICKOFF) + f""",
+c AS (SELECT game_id, market_type, side, line, max(price) AS closing_price, count(*) AS closing_books FROM cur WHERE player_id = '' GROUP BY ALL),
 cp AS (SELECT game_id, market_type, side, line, CASE WHEN sharp_prob > 0 THEN sharp_prob ELSE fair_prob END AS closing_prob FROM fair WHERE player_id = ''),
 closed AS (SELECT p.*, closing_price, closing_books, closing_prob, closing_prob * (({DECIMAL.format('price')}) - ({DECIMAL.format('closing_price')})) * 100.0 AS clv_pct FROM fx_picks p LEFT JOIN c USING (game_id, market_type, side, line) LEFT JOIN cp USING (game_id, market_type, side, line)),
 clv AS (SELECT * FROM closed WHERE clv_pct IS NOT NULL)"""
@@ -264,7 +267,8 @@ clv AS (SELECT * FROM closed WHERE clv_pct IS NOT NULL)"""
 
 def _closed(spark: SparkSession, d: str) -> DataFrame:
     own = view(spark, d, "fx_picks").withColumn("player_id", F.lit(""))
-    return grading.closing_lines(own, view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"), _fair(spark, d))
+    closing = grading.closing_quotes(view(spark, d, "fx_quote_obs"), view(spark, d, "fx_games"))
+    return grading.closing_lines(own, closing, consensus.fair_prices(closing, sharp=SHARP, method="multiplicative"))
 
 
 @query(f"WITH {CLOSED} SELECT pick_id, closing_price, closing_books, round(closing_prob, 6) AS closing_prob, round(clv_pct, 6) AS clv_pct FROM closed")
@@ -298,3 +302,52 @@ def closing_value(spark: SparkSession, d: str) -> DataFrame:
 def next_blend_weight(spark: SparkSession, d: str) -> DataFrame:
     weights = view(spark, d, "fx_picks").select("market_type").distinct().withColumn("weight", F.lit(0.1))
     return grading.next_blend_weight(_closed(spark, d), weights).select("market_type", r("weight"), "n")
+
+
+@query(f"WITH {CLOSED} SELECT bet_id, b.user_id, pick_id, closing_price, round(closing_prob * (({DECIMAL.format('b.price')}) - ({DECIMAL.format('closing_price')})) * 100.0, 6) AS clv_pct FROM fx_bets b LEFT JOIN closed USING (pick_id)")
+def user_closing_value(spark: SparkSession, d: str) -> DataFrame:
+    return grading.user_closing_value(view(spark, d, "fx_bets"), _closed(spark, d)).select("bet_id", "user_id", "pick_id", "closing_price", r("clv_pct"))
+
+
+@query(f"""WITH {CLOSED}, {GRADED}, t AS (SELECT market_type, tier, {PERFORMANCE} FROM graded GROUP BY ALL), v AS (SELECT market_type, tier, count(*) AS n_closed, avg(clv_pct) AS a, avg(CASE WHEN clv_pct > 0 THEN 1.0::DOUBLE ELSE 0 END) AS b FROM clv GROUP BY ALL),
+s AS (SELECT g.market_type, g.tier, count(*) AS n_bets, avg((({DECIMAL.format('g.price')}) - ({DECIMAL.format('b.price')})) * 100.0) AS slip FROM fx_bets b JOIN graded g USING (pick_id) GROUP BY ALL)
+SELECT market_type, tier, {RECORD}, n_closed, round(a, 6) AS avg_clv_pct, round(b, 6) AS beat_close, n_bets, round(slip, 6) AS slippage_pct FROM t LEFT JOIN v USING (market_type, tier) LEFT JOIN s USING (market_type, tier)""")
+def track_record(spark: SparkSession, d: str) -> DataFrame:
+    rows = grading.track_record(_graded(spark, d), _closed(spark, d), view(spark, d, "fx_bets"), "market_type", "tier")
+    record = ["picks", "settled", "wins", "losses", "pushes", r("staked", 4), r("profit", 4), r("win_rate"), r("win_low"), r("win_high"), r("roi_pct", 4)]
+    return rows.select("market_type", "tier", *record, "n_closed", r("avg_clv_pct"), r("beat_close"), "n_bets", r("slippage_pct"))
+
+
+FIELDS = f"""q AS (SELECT market_id, book, list(side ORDER BY side) AS names, list({IMPLIED.format('price')} ORDER BY side) AS ps FROM fx_fields GROUP BY ALL HAVING count(*) = count(DISTINCT side)),
+e AS (SELECT market_id, list_sort(list_distinct(flatten(list(names)))) AS every FROM q GROUP BY ALL),
+w AS (SELECT q.*, list_sum(ps) AS t FROM q JOIN e USING (market_id) WHERE names = every)"""
+#: Roots by sixty halvings.
+HALVED = """list_reduce(list_transform(range(60), lambda i: [i::DOUBLE]), lambda s, i: CASE WHEN {above} THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [{lo}::DOUBLE, {hi}::DOUBLE])"""
+EXPONENT = HALVED.format(above="list_sum(list_transform(ps, lambda p: p ** ((s[1] + s[2]) / 2.0))) > 1.0", lo="0", hi="128")
+INSIDERS = HALVED.format(above="list_sum(list_transform(ps, lambda p: (sqrt(((s[1] + s[2]) / 2.0) ** 2 + 4.0 * (1.0 - (s[1] + s[2]) / 2.0) * p * p / t) - (s[1] + s[2]) / 2.0) / (2.0 * (1.0 - (s[1] + s[2]) / 2.0)))) > 1.0", lo="0", hi="0.99")
+FIELD_METHODS = FIELDS + f""",
+k AS (SELECT *, list_extract({EXPONENT}, 1) AS k, list_extract({INSIDERS}, 1) AS z, list_sum(list_transform(ps, lambda p: (sqrt(0.9801::DOUBLE + 0.04::DOUBLE * p * p / t) - 0.99::DOUBLE) / 0.02::DOUBLE)) <= 1.0 AND t > 1.0 AS fits FROM w),
+m AS (SELECT market_id, book, names, list_transform(ps, lambda p: p / t) AS mul, CASE WHEN list_min(ps) > (t - 1.0) / len(ps) THEN list_transform(ps, lambda p: p - (t - 1.0) / len(ps)) ELSE list_transform(ps, lambda p: p / t) END AS add, CASE WHEN len(ps) = 1 THEN [1.0::DOUBLE] ELSE list_transform(ps, lambda p: p ** k) END AS pow, list_transform(ps, lambda p: (sqrt(z * z + 4.0 * (1.0 - z) * p * p / t) - z) / (2.0 * (1.0 - z))) AS shi, fits FROM k)"""
+
+
+@query(f"WITH {FIELD_METHODS} SELECT market_id, book, unnest(names) AS side, round(unnest(mul) + 1e-9, 6) AS multiplicative, round(unnest(add) + 1e-9, 6) AS additive, round(unnest(pow) + 1e-9, 6) AS power, round(unnest(CASE WHEN fits THEN shi ELSE pow END) + 1e-9, 6) AS shin, CASE WHEN fits THEN 'shin' ELSE 'power' END AS method_used FROM m")
+def field_methods(spark: SparkSession, d: str) -> DataFrame:
+    """All methods over the whole fields of books, with the name of what stood in for Shin's.
+
+    Two outcomes often give exact halves of the last digit; a billionth more keeps both engines off them.
+    """
+    prob = odds.implied_probability(F.col("price"))
+    rows = view(spark, d, "fx_fields").groupBy("market_id", "book").agg(F.sort_array(F.collect_list(F.struct("side", prob.alias("p")))).alias("q"), F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides")).filter("n = sides")
+    most = rows.groupBy("market_id").agg(F.max("n").alias("n"))
+    whole = rows.join(most, ["market_id", "n"]).withColumn("ps", F.transform("q", lambda x: x["p"]))
+    solved = whole.select("market_id", "book", "q", *[odds.devig_n(F.col("ps"), m).alias(m) for m in odds.METHODS_N]).select("*", F.posexplode("q").alias("_i", "_q"))
+    return solved.select("market_id", "book", F.col("_q.side").alias("side"), *[F.round(F.get(F.col(m)["probs"], F.col("_i")) + 1e-9, 6).alias(m) for m in odds.METHODS_N], F.col("shin.method_used").alias("method_used"))
+
+
+@query(f"""WITH {FIELD_METHODS}, o AS (SELECT market_id, book, unnest(names) AS side, unnest(list_transform(pow, lambda x: x / list_sum(pow))) AS p FROM m),
+a AS (SELECT *, sum(1) OVER (PARTITION BY market_id, side ORDER BY p, book ROWS UNBOUNDED PRECEDING) AS acc, count(*) OVER (PARTITION BY market_id, side) AS n FROM o),
+f AS (SELECT market_id, side, min(CASE WHEN acc >= n / 2.0 THEN p END) AS med, avg(CASE WHEN book = 'book3' THEN p END) AS sharp_prob, count(*) AS book_count, stddev_pop(p) AS dispersion FROM a GROUP BY ALL)
+SELECT market_id, side, count(*) OVER (PARTITION BY market_id) AS n_sides, round(med / sum(med) OVER (PARTITION BY market_id), 6) AS fair_prob, round(sharp_prob, 6) AS sharp_prob, book_count, round(dispersion, 6) AS dispersion FROM f""")
+def field_prices(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "fx_fields").select(F.col("market_id").alias("game_id"), F.lit("outright").alias("market_type"), F.lit("").alias("player_id"), F.lit(0.0).alias("line"), "side", "book", "price")
+    return consensus.field_prices(rows, sharp=SHARP, weights={}).select(F.col("game_id").alias("market_id"), "side", F.col("n_sides").cast("long").alias("n_sides"), r("fair_prob"), r("sharp_prob"), "book_count", r("dispersion"))

@@ -47,6 +47,20 @@ FROM (SELECT DISTINCT CAST(floor(l_partkey/10) AS BIGINT) AS game_id FROM lineit
 """,
 )
 
+_block(
+    "fx_fields",
+    """
+SELECT market_id, concat('book', CAST(book_no AS VARCHAR(4))) AS book, concat('s', CAST(side_no AS VARCHAR(4))) AS side,
+  CAST(CASE WHEN raw >= 0.5 THEN -floor(100*raw/(1-raw)+0.5) ELSE floor(100*(1-raw)/raw+0.5) END AS INT) AS price
+FROM (
+ SELECT market_id, book_no, side_no, least(0.97, greatest(0.004, (quantity + (book_no*side_no)%5) / (total + 2.0*n) * (0.98 + 0.03*CAST((market_id + book_no)%7 AS DOUBLE)))) AS raw
+ FROM (SELECT l_orderkey AS market_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS side_no, CAST(l_quantity AS DOUBLE) AS quantity,
+   sum(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey) AS total, CAST(count(*) OVER (PARTITION BY l_orderkey) AS DOUBLE) AS n FROM lineitem) f
+ CROSS JOIN (SELECT 1 AS book_no UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 6) b) o
+WHERE NOT (book_no = 4 AND side_no = 3 AND market_id % 5 = 0)
+""",
+)
+
 _block(
     "fx_plays",
     """

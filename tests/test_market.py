@@ -154,8 +154,85 @@ def test_closing_value_is_of_the_own_line_and_player(spark):
     )
     games = spark.createDataFrame([("g", t(2024, 1, 1, 12))], "game_id string, kickoff_utc timestamp")
     fair = spark.createDataFrame([(*side, -3.5, 0.5, 0.52), (*side, -7.0, 0.4, None), (*prop, 4.5, 0.48, None)], "game_id string, market_type string, player_id string, side string, line double, fair_prob double, sharp_prob double")
-    got = {r.pick_id: (r.closing_price, r.closing_prob, r.clv_pct) for r in grading.closing_lines(picks, observed, games, fair).collect()}
+    got = {r.pick_id: (r.closing_price, r.closing_prob, r.clv_pct) for r in grading.closing_lines(picks, grading.closing_quotes(observed, games), fair).collect()}
     assert got[1][:2] == (-110, 0.52) and got[1][2] == pytest.approx(0.52 * (2.0 - (1 + 100 / 110)) * 100)
     assert got[2][:2] == (150, 0.4) and got[2][2] == pytest.approx(0.4 * (2.0 - 2.5) * 100)
     assert got[3][:2] == (110, 0.48) and got[3][2] == pytest.approx(0.48 * (2.2 - 2.1) * 100)
     assert got[4] == (None, None, None)
+
+
+def test_quotes_after_kickoff_change_nothing_at_the_close(spark):
+    """Price and consensus of the close, and the value of users' own prices, with and without what came later."""
+    from datetime import datetime as t
+
+    quote = lambda side, book, price, hour, seq: (7, "h2h", "", side, 0.0, book, price, t(2024, 1, 1, hour), seq)
+    before = [quote("home", "a", -120, 9, 1), quote("away", "a", 100, 9, 2), quote("home", "b", -110, 10, 3), quote("away", "b", -110, 12, 4), quote("home", "a", -130, 11, 5)]
+    after = [quote("home", "a", 900, 13, 6), quote("away", "a", -900, 13, 7), quote("home", "c", 400, 14, 8), quote("away", "c", -500, 14, 9)]
+    schema = "game_id long, market_type string, player_id string, side string, line double, book string, price int, observed_at timestamp, seq long"
+    games = spark.createDataFrame([(7, t(2024, 1, 1, 12)), (8, None)], "game_id long, kickoff_utc timestamp")
+    picks = spark.createDataFrame([(1, 7, "h2h", "", "home", 0.0, 105), (2, 8, "h2h", "", "home", 0.0, 105)], "pick_id int, game_id long, market_type string, player_id string, side string, line double, price int")
+    bets = spark.createDataFrame([(1, 1, 120), (2, 1, -150), (3, 2, 100), (4, 99, 100)], "bet_id int, pick_id int, price int")
+
+    def closed(rows):
+        closing = grading.closing_quotes(spark.createDataFrame(rows, schema), games)
+        lines = grading.closing_lines(picks, closing, consensus.fair_prices(closing, method="multiplicative"))
+        own = grading.user_closing_value(bets, lines).collect()
+        return {r.pick_id: r for r in lines.collect()}, {r.bet_id: r.clv_pct for r in own}
+
+    lines, own = closed(before + after)
+    assert (lines, own) == closed(before)
+    # At noon: a -130 / +100, b -110 / -110; fair home is the lower of 0.5306 and 0.5.
+    assert lines[1].closing_price == -110 and lines[1].closing_books == 2 and lines[1].closing_prob == pytest.approx(0.5)
+    assert own[1] == pytest.approx(0.5 * (2.2 - (1 + 100 / 110)) * 100) and own[2] == pytest.approx(0.5 * (1 + 100 / 150 - 1 - 100 / 110) * 100)
+    assert own[3] is None and own[4] is None and lines[2].closing_price is None and lines[2].clv_pct is None
+
+
+def _field(spark, markets):
+    rows = [(k, [float(p) for p in ps]) for k, ps in enumerate(markets)]
+    return spark.createDataFrame(rows, "k int, ps array<double>")
+
+
+def test_margin_of_any_number_of_outcomes(spark):
+    import random
+
+    rng = random.Random(11)
+    markets = [[0.5, 0.3, 0.25], [0.9, 0.08, 0.05, 0.01], [0.3, 0.3, 0.3], [0.7], [0.55, 0.52], [0.99, 0.99], [0.2, 0.2, 0.2]]
+    for _ in range(200):
+        raw = [rng.random() ** 3 + 0.002 for _ in range(rng.randint(2, 12))]
+        markets.append([min(0.97, x / sum(raw) * rng.uniform(0.93, 1.3)) for x in raw])
+    for method in odds.METHODS_N:
+        for r in _field(spark, markets).select("ps", odds.devig_n(F.col("ps"), method).alias("d")).collect():
+            got, ps = r.d.probs, r.ps
+            assert sum(got) == pytest.approx(1.0, abs=1e-12) and all(x > 0 for x in got)
+            assert all((a - b) * (x - y) >= -1e-15 for a, x in zip(ps, got, strict=True) for b, y in zip(ps, got, strict=True))  # order kept
+            if method == "power" and len(ps) > 1:
+                import math
+
+                k = math.log(got[0]) / math.log(ps[0])
+                assert all(p**k == pytest.approx(x, rel=1e-9) for p, x in zip(ps, got, strict=True))
+            if method == "additive":
+                assert r.d.method_used == ("additive" if min(p - (sum(ps) - 1) / len(ps) for p in ps) > 0 else "multiplicative")
+            if method == "shin" and r.d.method_used == "shin":
+                # One share of insiders explains every price.
+                s = sum(ps)
+                z = [(p * p / s - x * x) / (x - x * x) for p, x in zip(ps, got, strict=True)]
+                assert max(z) - min(z) < 1e-9 and 0 <= z[0] <= 0.99
+    two = {r.k: r for r in _field(spark, [[0.55, 0.52], [0.45, 0.5]]).select("k", *[odds.devig_n(F.col("ps"), m).alias(m) for m in odds.METHODS_N], odds.power(F.col("ps")[0], F.col("ps")[1]).alias("pair")).collect()}
+    assert two[0].shin.probs == pytest.approx(two[0].additive.probs) and two[0].power.probs[0] == pytest.approx(two[0].pair)
+    assert two[1].shin.method_used == "power" and two[1].shin.probs == pytest.approx(two[1].power.probs)
+
+
+def test_margin_of_broken_markets(spark):
+    rows = _field(spark, [[0.5, 1.2], [0.0, 0.5], []]).unionByName(spark.createDataFrame([(9, None), (10, [0.4, None])], "k int, ps array<double>"))
+    assert all(r.d is None for m in odds.METHODS_N for r in rows.select(odds.devig_n(F.col("ps"), m).alias("d")).collect())
+
+
+def test_three_way_prices_count_the_draw(spark):
+    q = lambda book, side, price: (1, "h2h_3_way", "", side, 0.0, book, price)
+    rows = [q("pinnacle", "home", 120), q("pinnacle", "draw", 250), q("pinnacle", "away", 200), q("b", "home", 110), q("b", "draw", 240), q("b", "away", 210), q("c", "home", -200), q("c", "away", 150)]
+    df = spark.createDataFrame(rows, "game_id long, market_type string, player_id string, side string, line double, book string, price int")
+    got = {r.side: r for r in consensus.field_prices(df, method="multiplicative").collect()}
+    assert sorted(got) == ["away", "draw", "home"] and {r.book_count for r in got.values()} == {2} and {r.n_sides for r in got.values()} == {3}
+    assert sum(r.fair_prob for r in got.values()) == pytest.approx(1.0)
+    raw = [100 / 220, 100 / 350, 100 / 300]
+    assert got["home"].sharp_prob == pytest.approx(raw[0] / sum(raw))
