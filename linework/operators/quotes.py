@@ -14,8 +14,8 @@ MAX_HOLD_PCT = 25.0
 
 
 def current_quotes(observed: DataFrame) -> DataFrame:
-    """The latest quote of each key, later ``seq`` first among equal times; one partial aggregation."""
-    latest = F.max_by(F.struct("price", "observed_at", "seq"), F.struct("observed_at", "seq")).alias("q")
+    """The latest quote of each key, later ``seq`` first among equal times, then the higher price; one partial aggregation."""
+    latest = F.max_by(F.struct("price", "observed_at", "seq"), F.struct("observed_at", "seq", "price")).alias("q")
     return observed.groupBy(*QUOTE).agg(latest).select(*QUOTE, "q.price", "q.observed_at", "q.seq")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.quotes import QUOTE
-from ..sources.tables import latest_by_key
 
 CHANGE_SCHEMA = "game_id long, market_type string, player_id string, side string, line double, book string, price int, prev_price int, observed_at timestamp, seq long"
 
@@ -76,23 +75,6 @@ def alert_stream(states: DataFrame) -> DataFrame:
     return states.groupBy("alert_key").transformWithStateInPandas(_Alerts(), outputStructType="alert_key string, at timestamp, seq long, event string", outputMode="append", timeMode="none")
 
 
-def snapshot_writer(root: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the last row of each key under ``root``.
-
-    A version is written whole beside the one before and named by its batch, so a batch that is
-    run again after a failure writes the same version again.
-    """
-
-    def write(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        new = latest_by_key(batch, keys, order)
-        if version > 0:
-            new = latest_by_key(spark.read.parquet(f"{root}/version={version - 1}").unionByName(new), keys, order)
-        new.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-    return write
-
-
 def touched_writer(root: str, price: Callable[[DataFrame], DataFrame], current: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that prices again only the games that a batch touches."""
 
@@ -103,15 +85,58 @@ def touched_writer(root: str, price: Callable[[DataFrame], DataFrame], current:
     return write
 
 
-def closing_writer(root: str, games: DataFrame) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the last quote of each key at or before kickoff, by event time."""
-    keep = snapshot_writer(root, QUOTE, ["observed_at", "seq"])
+CLOSING_SCHEMA = "game_id long, market_type string, player_id string, side string, line double, book string, price int, at long, seq long, kickoff long"
 
-    def write(batch: DataFrame, version: int) -> None:
-        before = batch.join(games.select("game_id", "kickoff_utc"), "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc")).drop("kickoff_utc")
-        keep(before, version)
 
-    return write
+class _Closing(StatefulProcessor):
+    """The last quote of a key up to kickoff, as ``current_quotes`` orders them; a timer at kickoff hands it out once and forgets it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "price int, at long, seq long, kickoff long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        best, kickoff = held[:3] if held else None, held[3] if held else None
+        for batch in rows:
+            for price, at, seq, start in batch[["price", "at", "seq", "kickoff"]].itertuples(index=False):
+                if at <= start and (best is None or (at, seq, price) > (*best[1:], best[0])):
+                    best, kickoff = (int(price), int(at), int(seq)), int(start)
+        if best is not None and (held is None or kickoff != held[3]):
+            if held is not None:  # the game was put off
+                self.handle.deleteTimer(_millis(held[3]))
+            self.handle.registerTimer(_millis(kickoff))
+        if best is not None:
+            self.last.update((*best, kickoff))
+        yield pd.DataFrame([], columns=[*QUOTE, "price", "at", "seq", "kickoff"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield pd.DataFrame([(*key, *self.last.get())], columns=[*QUOTE, "price", "at", "seq", "kickoff"])
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(micros: int) -> int:
+    """The first whole millisecond that is not before."""
+    return -(-micros // 1000)
+
+
+def closing_stream(observed: DataFrame, games: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The closing quote of every key, once, when the watermark passes its game's kickoff.
+
+    Quotes may arrive in any order within ``delay``; what was observed after kickoff never counts, and
+    what arrives later than the watermark allows is dropped. ``games`` is read anew by each batch, so a
+    kickoff that moves before it is reached moves the timer with the next quote. State is one
+    quote for each key of a game that has not begun. The session must use the RocksDB state store.
+    """
+    kickoffs = games.filter("kickoff_utc is not null").select("game_id", F.unix_micros(F.col("kickoff_utc").cast("timestamp")).alias("kickoff"))
+    timed = observed.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", delay).join(kickoffs, "game_id")
+    keyed = timed.filter(F.unix_micros("observed_at") <= F.col("kickoff")).withColumn("at", F.unix_micros("observed_at"))
+    out = keyed.select(*QUOTE, "price", "at", "seq", "kickoff", "observed_at").groupBy(*QUOTE).transformWithStateInPandas(_Closing(), outputStructType=CLOSING_SCHEMA, outputMode="append", timeMode="eventTime")
+    return out.select(*QUOTE, "price", F.timestamp_micros("at").alias("observed_at"), "seq", F.timestamp_micros("kickoff").alias("kickoff_utc"))
 
 
 def windowed_changes(changes: DataFrame, width: str = "1 day", delay: str = "2 days") -> DataFrame:
