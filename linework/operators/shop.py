@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds
+from .metrics import order_statistics
 from .quotes import MARKET
 
 SIDE = [*MARKET, "side", "line"]
@@ -88,6 +89,39 @@ def edge_distribution(opps: DataFrame) -> DataFrame:
     return opps.groupBy(low.alias("edge_from")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("anchor") == "sharp").cast("long")).alias("n_sharp"), F.avg("edge_pct").alias("mean_edge"))
 
 
+def edge_summary(opps: DataFrame, *by: str) -> DataFrame:
+    """Order statistics of edges: (by, n, median, p90, p99, max, positive_pct, sharp_pct).
+
+    The value for a share q is that of rank floor(q n) + 1; no sort of all edges is made.
+    """
+    n = F.col("n")
+    ranks = {"median": F.floor(n * 0.5) + 1, "p90": F.floor(n * 0.9) + 1, "p99": F.floor(n * 0.99) + 1, "max": n}
+    stats = order_statistics(opps, "edge_pct", ranks, *by)
+    shares = opps.groupBy(*by).agg((F.avg((F.col("edge_pct") > 0).cast("double")) * 100.0).alias("positive_pct"), (F.avg((F.col("anchor") == "sharp").cast("double")) * 100.0).alias("sharp_pct"))
+    return stats.join(shares, list(by)) if by else stats.join(shares)
+
+
+#: Edges, in percent, at which the curve of opportunities is read.
+CURVE = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0)
+
+
+def edge_curve(opps: DataFrame, pairs: DataFrame, needed: Mapping[str, int], *by: str) -> DataFrame:
+    """Why there are few opportunities: (by, paired, one_sided, pair_rate, markets, at_<edge>..., best_books, median_books, reach_<tier>...).
+
+    ``pairs`` are the book pairs with ``price_a`` and ``price_b`` null where a side is missing, and ``needed``
+    the books that each tier asks for: a tier is reachable if some market has so many. All counts of
+    the curve come from one aggregate over ``opps``; the median of books is that of rank floor(n / 2) + 1 from the most.
+    """
+    two = F.col("price_a").isNotNull() & F.col("price_b").isNotNull()
+    paired = pairs.groupBy(*by).agg(F.count_if(two).alias("paired"), F.count_if(~two).alias("one_sided"), F.avg(two.cast("double")).alias("pair_rate"))
+    at = [F.count_if(F.col("edge_pct") >= c).alias(f"at_{c:g}") for c in CURVE]
+    counted = opps.groupBy(*by, "book_count").agg(F.count(F.lit(1)).alias("markets"), *at)  # as many rows as books
+    curve = counted.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("markets", *(f"at_{c:g}" for c in CURVE))], F.max("book_count").alias("best_books"))
+    middle = order_statistics(opps, "book_count", {"median_books": F.col("n") - F.floor(F.col("n") / 2)}, *by).drop("n")
+    rows = paired.join(curve, list(by), "left").join(middle, list(by), "left")
+    return rows.select(*by, "paired", "one_sided", "pair_rate", "markets", *[f"at_{c:g}" for c in CURVE], "best_books", "median_books", *[(F.coalesce("best_books", F.lit(0)) >= n).alias(f"reach_{tier}") for tier, n in needed.items()])
+
+
 def funnel(quotes: DataFrame, pairs: DataFrame, fair: DataFrame, opps: DataFrame) -> DataFrame:
     """Rows at each stage from quotes to opportunities, by kind of market."""
     stages = (("1 quotes", quotes), ("2 pairs", pairs), ("3 plausible", pairs.filter("plausible")), ("4 fair", fair), ("5 opportunities", opps.filter("not rejected")))
