@@ -91,13 +91,19 @@ def review_candidates(picks: DataFrame, games: DataFrame, as_of: str, n: int = 6
 
 
 def review_coverage(runs: DataFrame, picks: DataFrame, games: DataFrame, calls: DataFrame, as_of: str, hours: float = 6.0) -> DataFrame:
-    """One row: reviews that succeeded and calls (``at``) in the last hours before ``as_of``, and, where
-    a review did, the published picks of games not started that none has judged; else 0."""
+    """One row: reviews that succeeded and calls (``at``) in the last hours before ``as_of``, and, where a
+    review did, the picks that a user can still bet and that no review has reached; else 0.
+
+    Those are published, pending and not started, and have no ``review_hash``, which only a review that
+    reached the model writes: a failed call leaves the verdict OK. A pick that a review objected to
+    is not looked at again and does not count.
+    """
     now = F.lit(as_of).cast("timestamp")
     recent = lambda t: (F.col(t) <= now) & (F.unix_timestamp(now) - F.unix_timestamp(t) <= hours * 3600)
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     done = runs.agg(count((F.col("status") == "ok") & recent("finished_at")).alias("reviews"))
     made = calls.agg(count(recent("at")).alias("calls"))
-    missed = upcoming(picks.filter((F.col("published") == 1) & (F.coalesce("verdict", F.lit("")) == "")), games, as_of).agg(F.count(F.lit(1)).alias("_open"))
+    unseen = (F.col("published") == 1) & (F.col("result") == "pending") & F.col("review_hash").isNull() & F.coalesce("verdict", F.lit("")).isin("OK", "")
+    missed = upcoming(picks.filter(unseen), games, as_of).agg(F.count(F.lit(1)).alias("_open"))
     one = done.join(made).join(missed)
     return one.select("reviews", "calls", F.when(F.col("reviews") > 0, F.col("_open")).otherwise(0).alias("unreviewed"))

@@ -110,13 +110,13 @@ def pit_table(df: DataFrame, pit: str, *by: str) -> DataFrame:
     return met.withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
-def ks_uniform(df: DataFrame, pit: str, *by: str) -> DataFrame:
+def ks_uniform(df: DataFrame, pit: str, *by: str, ranges: int = RANGES) -> DataFrame:
     """Largest gaps between the ranks of a PIT and the uniform: ``ks_upper`` on one side (i / n), ``ks`` on both.
 
     Ranks are sums over distinct values, in ranges of their order.
     """
     values = df.groupBy(*by, pit).agg(F.count(F.lit(1)).alias("c"))
-    ranked = prefix_sums(values, pit, ["c"], *by).withColumnsRenamed({"before_c": "below", "all_c": "n"})
+    ranked = prefix_sums(values, pit, ["c"], *by, ranges=ranges).withColumnsRenamed({"before_c": "below", "all_c": "n"})
     # Within ties every rank from below + 1 to below + c meets the same value; the ends decide.
     first, last = F.abs((F.col("below") + 1) / F.col("n") - F.col(pit)), F.abs((F.col("below") + F.col("c")) / F.col("n") - F.col(pit))
     low = F.abs(F.col("below") / F.col("n") - F.col(pit))

@@ -77,10 +77,12 @@ NOW = "2024-01-20 00:00:00"
 
 
 @query(f"""WITH ok AS (SELECT count(*) AS reviews FROM fx_runs WHERE status = 'ok' AND source = 'manual' AND finished_at <= TIMESTAMP '{NOW}' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(finished_at)) <= 21600), made AS (SELECT count(*) AS calls FROM fx_runs WHERE finished_at <= TIMESTAMP '{NOW}' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(finished_at)) <= 21600),
-missed AS (SELECT count(*) AS n FROM fx_picks LEFT JOIN (SELECT game_id, kickoff_utc + INTERVAL '8207' DAY AS kickoff_utc FROM fx_games) g USING (game_id) WHERE published = 1 AND tier = 'C' AND (kickoff_utc IS NULL OR kickoff_utc > TIMESTAMP '{NOW}')) SELECT reviews, calls, CASE WHEN reviews > 0 THEN n ELSE 0 END AS unreviewed FROM ok, made, missed""")
+judged AS (SELECT *, CASE tier WHEN 'A' THEN 'OK' WHEN 'B' THEN 'FLAG' ELSE '' END AS ai_verdict, CASE WHEN pick_id % 3 > 0 THEN 'seen' END AS review_hash, CASE WHEN pick_id % 4 = 0 THEN 'win' ELSE 'pending' END AS result FROM fx_picks),
+missed AS (SELECT count(*) AS n FROM judged LEFT JOIN (SELECT game_id, kickoff_utc + INTERVAL '8207' DAY AS kickoff_utc FROM fx_games) g USING (game_id) WHERE result = 'pending' AND published = 1 AND review_hash IS NULL AND ai_verdict IN ('OK', '') AND (kickoff_utc IS NULL OR kickoff_utc > TIMESTAMP '{NOW}')) SELECT reviews, calls, CASE WHEN reviews > 0 THEN n ELSE 0 END AS unreviewed FROM ok, made, missed""")
 def review_coverage(spark: SparkSession, d: str) -> DataFrame:
     runs = view(spark, d, "fx_runs")
-    judged = view(spark, d, "fx_picks").withColumn("verdict", F.when(F.col("tier") != "C", "OK"))
+    verdict = F.when(F.col("tier") == "A", "OK").when(F.col("tier") == "B", "FLAG")
+    judged = view(spark, d, "fx_picks").withColumns({"verdict": verdict, "review_hash": F.when(F.col("pick_id") % 3 > 0, "seen"), "result": F.when(F.col("pick_id") % 4 == 0, "win").otherwise("pending")})
     games = view(spark, d, "fx_games").withColumn("kickoff_utc", F.expr("kickoff_utc + INTERVAL '8207' DAY"))
     return board.review_coverage(runs.filter("source = 'manual'"), judged, games, runs.select(F.col("finished_at").alias("at")), NOW)
 

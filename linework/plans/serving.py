@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import identity, metrics, models, ops, props, validate
 from ..sources import tables
+from ..sources.cuts import written
 from ..sources.fixtures import view, with_views
 from .market import r
 
@@ -136,21 +137,107 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 # ---- projections and models -------------------------------------------------------------------------
 
 
+#: Each game with all earlier games of its player, by a plain join; mixture and scores from SQL's own aggregates.
+EARLIER = """g AS (SELECT player_id, season, week, targets AS volume, rec_yards AS value, CASE WHEN targets > 0 AND rec_yards IS NOT NULL THEN rec_yards / targets END AS eff FROM fx_player_games),
+h AS (SELECT t.player_id, t.season, t.week, t.value, e.volume AS v, e.eff, median(CASE WHEN e.volume > 0 THEN e.volume END) OVER (PARTITION BY t.player_id, t.season, t.week) AS typical FROM g t JOIN g e ON e.player_id = t.player_id AND (e.season < t.season OR (e.season = t.season AND e.week < t.week))),
+"""
+MIXED = """a{0} AS (SELECT player_id, season, week, any_value(value) AS value, count(*) AS games, count(*) FILTER (v >= line) AS n_ok, avg(v) FILTER (v >= line) AS v_ok, stddev_samp(v) FILTER (v >= line) AS s_ok, avg(v) AS v_all, stddev_samp(v) AS s_all, avg(v) FILTER (v < line) AS v_bust, count(eff) AS n_eff, avg(eff) AS e_own, stddev_samp(eff) AS e_sd
+  FROM (SELECT *, greatest(1.0, coalesce(typical, 0.0) * {0}) AS line FROM h) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+b{0} AS (SELECT *, CASE WHEN n_ok > 0 THEN v_ok ELSE v_all END AS vm, CASE WHEN n_ok > 1 THEN s_ok WHEN n_ok = 1 THEN v_ok * 0.5 ELSE s_all END AS vs, CASE WHEN n_eff > 0 THEN (n_eff * e_own + 12.0 * 7.8) / (n_eff + 12.0) ELSE 7.8::DOUBLE END AS em, CASE WHEN n_eff > 1 THEN e_sd WHEN n_eff = 1 THEN e_own * 0.4 ELSE 7.8::DOUBLE * 0.45 END AS es FROM a{0})"""
+PROJECTED = EARLIER + MIXED.format("0.35") + """,
+p AS (SELECT player_id, season, week, value, games, vm * em AS mean, sqrt(greatest(vs * vs * es * es + vs * vs * em * em + es * es * vm * vm, 1e-9)) AS sd, least((games - n_ok + 6.0 * 0.12) / (games + 6.0), 0.45) AS p_bust, greatest(CASE WHEN games > n_ok THEN v_bust * em ELSE vm * em * 0.15 END, 0.3) AS bust_mean FROM "b0.35"),
+q AS (SELECT *, p_bust * bust_mean + (1 - p_bust) * mean AS expected FROM p)""".replace('"b0.35"', "b035")
+PROJECTED = PROJECTED.replace("a0.35", "a035").replace("b0.35", "b035")
+#: The normal distribution by the same tabled formula.
+PHI = "(CASE WHEN {0} >= 0 THEN 1.0 - {1} ELSE {1} END)"
+
+
+def _phi(z: str) -> str:
+    t = f"(1.0 / (1.0 + 0.3275911 * abs({z}) / 1.4142135623730951))"
+    tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({z}) * ({z}) / 2.0) / 2.0)"
+    return PHI.format(z, tail)
+
+
+def _lognormal(x: str, mean: str, sd: str) -> str:
+    width = f"sqrt(ln(1.0 + ({sd}) ** 2 / ({mean}) ** 2))"
+    return _phi(f"((ln({x}) - ln(({mean}) ** 2 / sqrt(({sd}) ** 2 + ({mean}) ** 2))) / {width})")
+
+
+def _mixed(x: str, spread: str = "0.9") -> str:
+    low = "greatest(bust_mean, 0.5)"
+    return f"(CASE WHEN {x} <= 0 THEN 0.0 ELSE p_bust * {_lognormal(x, low, f'{low} * {spread}')} + (1 - p_bust) * {_lognormal(x, 'mean', 'sd')} END)"
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return props.histories(props.stat_history(view(spark, d, "fx_player_games")))
+
+
 def _projected(spark: SparkSession, d: str) -> DataFrame:
-    return props.project(props.expanding_history(view(spark, d, "fx_usage")))
+    return props.project(_history(spark, d))
 
 
-@query()
+@query(f"WITH {PROJECTED} SELECT player_id, season, week, games, round(mean + 1e-9, 6) AS mean, round(sd, 5) AS sd, round(p_bust, 6) AS p_bust, round(bust_mean + 1e-9, 6) AS bust_mean, round(expected + 1e-9, 6) AS expected FROM q")
 def projections(spark: SparkSession, d: str) -> DataFrame:
-    line = props.fair_line(0.5, F.col("mean"), F.col("sd"), F.col("p_bust"), F.col("bust_mean"))
-    return _projected(spark, d).withColumn("fair_line", line).select("player_id", "season", "week", r("mean"), r("sd"), r("p_bust"), "fair_line")
+    return _projected(spark, d).select("player_id", "season", "week", F.col("games").cast("long").alias("games"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "bust_mean", "expected")], r("sd", 5), r("p_bust"))
 
 
-@query()
+#: The line is where half of the mixture lies; the twin checks it from both sides, a tenth apart.
+@query(f"""WITH {PROJECTED}, s AS (SELECT *, list_reduce(list_transform(range(60), lambda i: [i::DOUBLE]), lambda s, i: CASE WHEN {_mixed('((s[1] + s[2]) / 2.0)').replace('mean', 's[4]').replace('bust_s[4]', 's[6]').replace('sd', 's[3]').replace('p_bust', 's[5]')} < 0.5 THEN [(s[1] + s[2]) / 2.0, s[2], s[3], s[4], s[5], s[6]] ELSE [s[1], (s[1] + s[2]) / 2.0, s[3], s[4], s[5], s[6]] END, [0.0::DOUBLE, mean * 5.0 + 10.0, sd, mean, p_bust, bust_mean]) AS s FROM q)
+SELECT player_id, season, week, round((s[1] + s[2]) / 2.0, 1) AS fair_line FROM s""")
+def projected_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _projected(spark, d).select("player_id", "season", "week", props.fair_line().alias("fair_line"))
+
+
+SCORED = PROJECTED + """,
+w AS (SELECT *, (value - expected) / sd AS z FROM q WHERE value IS NOT NULL AND expected >= 20.0),
+cal AS (SELECT s.season, count(w.season) AS n, CASE WHEN count(w.season) >= 200 THEN avg(w.value - w.expected) ELSE 0.0 END AS bias, CASE WHEN count(w.season) >= 200 THEN stddev_pop(w.z) ELSE 1.0 END AS sd_scale FROM (SELECT DISTINCT season FROM q) s LEFT JOIN w ON w.season < s.season GROUP BY 1),
+c AS (SELECT player_id, season, week, value, games, greatest(mean + bias, 0.1) AS mean, greatest(sd * sd_scale, 0.1) AS sd, p_bust, bust_mean FROM w JOIN cal USING (season)),
+x AS (SELECT *, p_bust * bust_mean + (1 - p_bust) * mean AS expected FROM c)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    projected = written(_projected(spark, d))
+    return written(props.score_projections(projected, props.fit_calibration(projected)))
+
+
+@query(f"WITH {SCORED} SELECT season, n, round(bias, 6) AS bias, round(sd_scale, 6) AS sd_scale FROM cal")
+def projection_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return props.fit_calibration(_projected(spark, d)).select("season", "n", r("bias"), r("sd_scale"))
+
+
+@query(f"WITH {SCORED}, u AS (SELECT season, {_mixed('value')} AS pit FROM x), t AS (SELECT season, CASE {' '.join(f'WHEN pit >= {i / 10} THEN {i / 10}::DOUBLE' for i in range(9, -1, -1))} END AS tenth FROM u) SELECT season, tenth, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY season), 6) AS share FROM t GROUP BY 1, 2")
 def projection_pit(spark: SparkSession, d: str) -> DataFrame:
-    projected = _projected(spark, d)
-    scored = props.score_projections(projected, props.fit_calibration(projected))
-    return metrics.pit_table(scored, "pit", "season").select("season", "tenth", "n", r("share"))
+    return metrics.pit_table(_scored(spark, d), "pit", "season").select("season", "tenth", "n", r("share"))
+
+
+@query(f"""WITH {SCORED}, u AS (SELECT *, {_mixed('value')} AS pit FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY pit) AS i, count(*) OVER (PARTITION BY season) AS m FROM u)
+SELECT season, count(*) AS n, round(avg(abs(value - expected)), 6) AS mae, round(avg(value - expected), 6) AS bias, round(corr(expected, value), 6) AS corr, round(avg(CASE WHEN abs(value - expected) <= sd THEN 1.0::DOUBLE ELSE 0 END), 6) AS within_1sd, round(avg(CASE WHEN abs(value - expected) <= 2 * sd THEN 1.0::DOUBLE ELSE 0 END), 6) AS within_2sd, round(stddev_pop((value - expected) / sd), 6) AS z_sd, round(avg(pit), 6) AS pit_mean, round(max(abs(pit - i::DOUBLE / m)), 6) AS ks FROM k GROUP BY 1""")
+def projection_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    errors = metrics.forecast_errors(scored, "value", "expected", "sd", "over", "season").drop("over_rate")
+    means = scored.groupBy("season").agg(F.avg("pit").alias("pit_mean"))
+    rows = errors.join(means, "season").join(metrics.ks_uniform(scored, "pit", "season"), "season")
+    return rows.select("season", "n", r("mae"), r("bias"), r("corr"), r("within_1sd"), r("within_2sd"), r("z_sd"), r("pit_mean"), F.round("ks_upper", 6).alias("ks"))
+
+
+CELLS = ",\n".join(MIXED.format(c) for c in props.CUTS)
+for _c in props.CUTS:
+    CELLS = CELLS.replace(f"a{_c}", f"a{int(_c * 100):03d}").replace(f"b{_c}", f"b{int(_c * 100):03d}")
+GRID = ",\n".join(
+    f"""g{int(c * 100):03d} AS (SELECT {c}::DOUBLE AS cut, prior, spread, season, value, vm * em AS mean, sqrt(greatest(vs * vs * es * es + vs * vs * em * em + es * es * vm * vm, 1e-9)) AS sd, least((games - n_ok + 6.0 * prior) / (games + 6.0), 0.45) AS p_bust, greatest(CASE WHEN games > n_ok THEN v_bust * em ELSE vm * em * 0.15 END, 0.3) AS bust_mean
+  FROM b{int(c * 100):03d}, (SELECT unnest({list(props.PRIORS)})::DOUBLE AS prior), (SELECT unnest({list(props.SPREADS)})::DOUBLE AS spread))"""
+    for c in props.CUTS
+)
+TUNED = EARLIER + CELLS + ",\n" + GRID + f""",
+u AS (SELECT *, {_mixed('value', 'spread')} AS pit, season >= 2025 AS held FROM ({' UNION ALL '.join(f'SELECT * FROM g{int(c * 100):03d}' for c in props.CUTS)}) WHERE value IS NOT NULL AND p_bust * bust_mean + (1 - p_bust) * mean >= 20.0),
+k AS (SELECT *, row_number() OVER (PARTITION BY cut, prior, spread, held ORDER BY pit) AS i, count(*) OVER (PARTITION BY cut, prior, spread, held) AS m FROM u),
+s AS (SELECT cut, prior, spread, held, count(*) AS n, max(abs(pit - i::DOUBLE / m)) AS ks FROM k GROUP BY 1, 2, 3, 4),
+best AS (SELECT cut, prior, spread FROM s WHERE NOT held AND n >= 500 ORDER BY ks, cut, prior, spread LIMIT 1)"""
+
+
+@query(f"WITH {TUNED} SELECT 'rec_yards' AS stat, cut, prior, spread, CASE WHEN held THEN 'held_out' ELSE 'train' END AS part, n, round(ks, 6) AS ks FROM s WHERE (NOT held AND n >= 500) OR (held AND (cut, prior, spread) IN (SELECT (cut, prior, spread) FROM best))")
+def tuned_projections(spark: SparkSession, d: str) -> DataFrame:
+    return props.tune(_history(spark, d), holdout_from=2025).withColumn("ks", F.round("ks", 6))
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:

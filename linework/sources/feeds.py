@@ -135,19 +135,3 @@ def flatten_scoreboard(payload: DataFrame, teams: DataFrame, games: DataFrame, j
     known = games.select("game_id", "home_team", "away_team", F.date_format("kickoff_utc", "yyyy-MM-dd").alias("day"))
     score = lambda who: F.coalesce(F.expr(f"try_cast({who}.score as int)"), F.lit(0))
     return met.join(known, ["home_team", "away_team", "day"]).select("game_id", score("h").alias("home_score"), score("a").alias("away_score"), F.col("s.period").alias("period"), F.col("s.displayClock").alias("clock"), F.col("s.type.state").alias("state"))
-
-
-# Teams by abbreviation, name, nickname, roof and time zone.
-TEAMS = """ARI Arizona Cardinals,ATL Atlanta Falcons,BAL Baltimore Ravens,BUF Buffalo Bills,CAR Carolina Panthers,CHI Chicago Bears,CIN Cincinnati Bengals,CLE Cleveland Browns,DAL Dallas Cowboys,DEN Denver Broncos,DET Detroit Lions,GB Green Bay Packers,HOU Houston Texans,IND Indianapolis Colts,JAX Jacksonville Jaguars,KC Kansas City Chiefs,LAC Los Angeles Chargers,LAR Los Angeles Rams,LV Las Vegas Raiders,MIA Miami Dolphins,MIN Minnesota Vikings,NE New England Patriots,NO New Orleans Saints,NYG New York Giants,NYJ New York Jets,PHI Philadelphia Eagles,PIT Pittsburgh Steelers,SEA Seattle Seahawks,SF San Francisco 49ers,TB Tampa Bay Buccaneers,TEN Tennessee Titans,WAS Washington Commanders"""
-
-
-def team_dim(spark: SparkSession) -> DataFrame:
-    """(team, full_name, nickname) of the 32 teams."""
-    rows = [(abbr, name, name.split()[-1]) for abbr, _, name in (t.strip().partition(" ") for t in TEAMS.split(","))]
-    return spark.createDataFrame(rows, "team string, full_name string, nickname string")
-
-
-def team_aliases(spark: SparkSession) -> DataFrame:
-    """(alias, team) over abbreviation, full name and nickname."""
-    d = team_dim(spark)
-    return d.select(F.explode(F.array("team", "full_name", "nickname")).alias("alias"), "team").distinct()

@@ -97,6 +97,16 @@ FROM events GROUP BY 1,2,3,4
 """,
 )
 
+_block(
+    "fx_player_games",
+    """
+SELECT player_id, season, week, CAST(sum(units) AS DOUBLE) AS targets, CASE WHEN max(event_id) % 19 = 0 THEN NULL ELSE floor(sum(units * (500.0 + value * 10.0)) + 0.45) / 100.0 END AS rec_yards
+FROM (SELECT event_id, value, concat('P',CAST(user_id % 400 AS VARCHAR(6))) AS player_id, 2021 + CAST(floor(event_id / 7) AS INT) % 5 AS season, 1 + CAST(floor((dayofmonth(ts)-1)/2.0) AS INT) AS week,
+  CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 1 ELSE 4 + CAST(floor(value) AS INT) % 7 END AS units FROM events) e
+GROUP BY 1,2,3
+""",
+)
+
 _block(
     "fx_forecasts",
     """

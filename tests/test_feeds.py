@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linework.operators import identity, panel, validate
-from linework.sources import feeds, tables
+from linework.sources import feeds, tables, teams
 
 
 def one(spark, payload):
@@ -44,12 +44,12 @@ def test_nearest_hour(spark):
 def test_scoreboard(spark):
     payload = {"events": [{"date": "2024-10-06T17:00Z", "competitions": [{"status": {"period": 2, "displayClock": "3:00", "type": {"state": "in"}}, "competitors": [{"homeAway": "home", "score": "14", "team": {"displayName": "Kansas City Chiefs"}}, {"homeAway": "away", "score": None, "team": {"displayName": "Bills"}}]}]}]}
     games = spark.createDataFrame([("g1", "KC", "BUF", "2024-10-06 17:00:00")], "game_id string, home_team string, away_team string, k string").withColumn("kickoff_utc", F.col("k").cast("timestamp"))
-    got = feeds.flatten_scoreboard(one(spark, payload), feeds.team_aliases(spark), games).first()
+    got = feeds.flatten_scoreboard(one(spark, payload), teams.team_aliases(spark), games).first()
     assert (got.game_id, got.home_score, got.away_score, got.period, got.state) == ("g1", 14, 0, 2, "in")
 
 
 def test_teams(spark):
-    assert feeds.team_dim(spark).count() == 32 and feeds.team_aliases(spark).groupBy("alias").count().filter("count > 1").isEmpty()
+    assert teams.team_dim(spark).count() == 32 and teams.team_aliases(spark).groupBy("alias").count().filter("count > 1").isEmpty()
 
 
 @pytest.mark.parametrize(("day", "want"), [("2026-10-25", "17:00"), ("2026-11-15", "18:00")])
@@ -115,3 +115,29 @@ def test_a_model_that_answers_for_other_seasons_is_stopped(spark):
     df = spark.createDataFrame([(s, 1.0) for s in range(2000, 2008)], "season int, y double")
     with pytest.raises(Exception, match="is not true"):
         validate.walk_forward(df, lambda train, test: train.withColumn("p", F.lit(0.5))).collect()
+
+
+def test_teams_by_any_name(spark):
+    said = {"kc": "KC", " OAK ": "LV", "new york giants": "NYG", "Jets": "NYJ", "The 49ers": "SF", "New York": None, "": None, None: None, "LA": "LAR", "wft": "WAS"}
+    df = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r.t: r.team for r in df.select("t", teams.resolve_team(F.col("t")).alias("team")).collect()} == said
+    fields = spark.createDataFrame([(1, "DEN"), (2, "DET"), (3, "XXX")], "game_id int, home_team string")
+    got = {r.game_id: (r.roof, r.tz) for r in teams.with_home_field(fields).collect()}
+    assert got == {1: ("outdoor", "America/Denver"), 2: ("dome", "America/New_York"), 3: (None, None)}
+
+
+def test_unreviewed_picks_are_those_no_review_reached(spark):
+    from datetime import datetime as t
+
+    from linework.operators import board
+
+    rows = [
+        (1, 1, 1, "pending", None, "OK"), (2, 1, 1, "pending", None, ""), (3, 1, 1, "pending", None, None),  # open and unseen; a failed call leaves OK
+        (4, 1, 1, "pending", "h", "OK"), (5, 1, 1, "pending", None, "FLAG"), (6, 1, 1, "pending", None, "KILL"), (7, 1, 1, "win", None, "OK"), (8, 1, 0, "pending", None, "OK"), (9, 2, 1, "pending", None, "OK"), (10, 3, 1, "pending", None, "OK"),
+    ]
+    picks = spark.createDataFrame(rows, "pick_id int, game_id int, published int, result string, review_hash string, verdict string")
+    games = spark.createDataFrame([(1, t(2024, 1, 2)), (2, t(2023, 12, 31)), (3, None)], "game_id int, kickoff_utc timestamp")
+    runs = spark.createDataFrame([("ok", t(2024, 1, 1, 10))], "status string, finished_at timestamp")
+    calls = spark.createDataFrame([(t(2024, 1, 1, 9),)], "at timestamp")
+    assert tuple(board.review_coverage(runs, picks, games, calls, "2024-01-01 12:00:00").first()) == (1, 1, 4)
+    assert tuple(board.review_coverage(runs, picks, games, calls, "2024-01-01 20:00:00").first()) == (0, 0, 0)
