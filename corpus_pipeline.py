@@ -11,12 +11,14 @@ read again as the next one's documents.
    and the digest of what they decode to.
 
 Null and empty texts have no language and go in the first stage. A row with a null id is a document
-of its own. Tables may be empty, and may have more columns, which stay.
+of its own. Tables may be empty, and may have more columns of any name, which stay.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,25 @@ LEAST_SCORE = 0.5
 MEMO = 60_000
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The columns that stages know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256")
+
+
+def names_aside(stage: Stage) -> Stage:
+    """``stage`` with all other columns under plain names meanwhile, so that none can clash or need quotes."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: c if c in KNOWN else f"other{k}" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*aside.values()), sf_dir)
+        back = {plain: c for c, plain in aside.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
+@names_aside
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = docs.filter(~language_id.held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang")
     long = "_" * max(map(len, docs.columns))  # longer than any name that is there
@@ -40,18 +61,22 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
+@names_aside
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.one_of_each(docs)
 
 
+@names_aside
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@names_aside
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@names_aside
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     coded = bpe_codec.encode(docs, path, memo=MEMO)
