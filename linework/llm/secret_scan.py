@@ -143,11 +143,13 @@ def secret_findings(docs: DataFrame, ledger: DataFrame | None = None, *, id_col:
 def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every finding replaced by ``mask``; overlapping findings are masked once. Null stays null.
 
-    All rows and columns stay.
+    All rows and columns stay, whatever the columns are called.
     """
-    ledger = scan_blobs(docs.select(text_col), text_col=text_col, rules=rules)
-    found = findings_by_path(docs, ledger, text_col=text_col, rules=rules)
-    text = F.col(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    column = f"c{docs.columns.index(text_col)}"
+    ledger = scan_blobs(plain.select(column), text_col=column, rules=rules)
+    found = findings_by_path(plain, ledger, text_col=column, rules=rules)
+    text = F.col(column)
     state = "struct<at:int,text:string>"
     masked = F.aggregate(
         F.col("_found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("text")).cast(state),
@@ -157,7 +159,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", r
         ).cast(state)),
         lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(masked)).select(*docs.columns)
+    return found.withColumn(column, F.when(F.col("_found").isNull(), text).otherwise(masked)).select(*plain.columns).toDF(*docs.columns)
 
 
 __all__ = ["BASE_RULES", "RULES", "Rule", "findings_by_path", "redact", "scan_blobs", "secret_findings", "spans"]

@@ -85,3 +85,26 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, a text of over a million characters and columns whose names could clash."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    own = "the quick brown fox said api_key = abcdef1234567 and went home along the old river bank before the rain came down again"
+    odd = [(None, own, "en", "s", 1), (None, own, "en", "s", 1), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (base[0].doc_id, base[0].text, base[0].lang, base[0].source, base[0].n_chars)]
+    words = [w for r in base for w in (r.text or "").split()]
+    odd.append((9003, " ".join(words * (1_100_000 // len(" ".join(words)) + 1)), "en", "s", 2))
+    more = ("_salt", "_blob", "_found", "id", "hash", "key", "a.b", "text ", "group_id")
+    docs = spark.createDataFrame([(*r, *more) for r in [tuple(x) for x in base] + odd], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "bpe":
+            assert docs.columns == columns and all(tuple(r[5:]) == more for r in docs.collect()), name
+        assert docs.count() <= before.count()
+    kept = docs.collect()
+    assert [c for c in docs.columns if c in more] == list(more) and {"n_tokens", "ids", "decoded_sha256"} <= set(docs.columns)
+    assert sum(r.doc_id is None for r in kept) == 2 and 9001 not in {r.doc_id for r in kept} and 9002 not in {r.doc_id for r in kept}
+    assert len({r.doc_id for r in kept if r.doc_id is not None}) == sum(r.doc_id is not None for r in kept)
