@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import identity, metrics, models, ops, props, validate
+from ..operators import availability, identity, metrics, models, ops, panel, props, validate
 from ..sources import tables
 from ..sources.cuts import written
 from ..sources.fixtures import view, with_views
 from .market import r
+from .research import FINAL, PANEL
 
 QUERIES, ORACLES = {}, {}
 AS_OF = "2024-01-20 00:00:00"
@@ -240,6 +241,47 @@ def tuned_projections(spark: SparkSession, d: str) -> DataFrame:
     return props.tune(_history(spark, d), holdout_from=2025).withColumn("ks", F.round("ks", 6))
 
 
+BUSTS = "wk AS (SELECT player_id, concat('T', CAST(CAST(substr(player_id, 2) AS INT) % 16 AS VARCHAR)) AS team, season, week, CAST(targets AS BIGINT) AS volume FROM fx_player_games), " + PANEL.replace("fx_usage", "wk") + ", " + FINAL.format("") + """,
+sides AS (SELECT 2021 + game_id % 5 AS season, week, home_team AS team, 1 AS is_home, total_line / 2.0 + spread_line / 2.0 AS implied_total, abs(spread_line) AS abs_spread FROM fx_games UNION ALL SELECT 2021 + game_id % 5, week, away_team, 0, total_line / 2.0 - spread_line / 2.0, abs(spread_line) FROM fx_games),
+ctx AS (SELECT season, week, team, max(is_home) AS is_home, max(implied_total) AS implied_total, max(abs_spread) AS abs_spread FROM sides GROUP BY 1, 2, 3)"""
+
+
+def _busts(spark: SparkSession, d: str) -> DataFrame:
+    weeks = view(spark, d, "fx_player_games").select("player_id", F.concat(F.lit("T"), (F.substring("player_id", 2, 9).cast("int") % 16).cast("string")).alias("team"), "season", "week", F.col("targets").cast("long").alias("volume"))
+    games = view(spark, d, "fx_games").withColumn("season", (2021 + F.col("game_id") % 5).cast("int"))
+    context = panel.team_game_context(games).groupBy("season", "week", "team").agg(*[F.max(c).alias(c) for c in availability.CONTEXT])
+    return availability.bust_matrix(panel.trailing_form(panel.player_panel(weeks)), view(spark, d, "fx_reports"), context)
+
+
+@query(f"""WITH {BUSTS} SELECT f.player_id, f.season, f.week, CASE WHEN fin.report_status = 'Questionable' THEN 1.0::DOUBLE ELSE 0 END AS report_questionable, CASE WHEN fin.report_status IS NULL OR fin.report_status NOT IN ('Doubtful', 'Questionable', 'Probable') THEN 1.0::DOUBLE ELSE 0 END AS report_none, CASE WHEN fin.practice_status LIKE 'Did Not%' THEN 1.0::DOUBLE ELSE 0 END AS practice_dnp,
+  round(trail_mean, 6) AS trail_mean, round(last_week_vol / baseline_vol, 6) AS vol_vs_baseline, implied_total, CAST(is_home AS DOUBLE) AS is_home, CAST(bust AS DOUBLE) AS bust FROM form f LEFT JOIN fin ON fin.player_id = f.player_id AND fin.season = f.season AND fin.week = f.week JOIN ctx c ON c.season = f.season AND c.week = f.week AND c.team = f.team WHERE trail_n > 0 AND coalesce(fin.report_status, '') <> 'Out'""")
+def bust_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _busts(spark, d).select("player_id", "season", "week", "report_questionable", "report_none", "practice_dnp", r("trail_mean"), r("vol_vs_baseline"), "implied_total", "is_home", "bust")
+
+
+def _bust_model(spark: SparkSession, d: str) -> tuple:
+    rows = written(_busts(spark, d))
+    train, test = rows.filter(f"season <= {availability.TRAIN_MAX}"), rows.filter(f"season = {availability.DEV_SEASON}")
+    return availability.fit(train), train, test
+
+
+@query()
+def bust_model(spark: SparkSession, d: str) -> DataFrame:
+    """The development season by a model of the seasons before, beside its base rate."""
+    return availability.evaluation(*_bust_model(spark, d)).select("n_train", "n_test", r("base_rate"), r("brier", 4), r("brier_baseline"), r("log_loss", 4), r("ece", 4), "beats_base")
+
+
+@query()
+def bust_importance(spark: SparkSession, d: str) -> DataFrame:
+    model, _, test = _bust_model(spark, d)
+    return availability.permutation_importance(model, test).select("feature", r("importance"))
+
+
+@query(f"WITH {BUSTS}, x AS (SELECT f.*, c.implied_total, c.is_home FROM form f LEFT JOIN fin ON fin.player_id = f.player_id AND fin.season = f.season AND fin.week = f.week JOIN ctx c ON c.season = f.season AND c.week = f.week AND c.team = f.team WHERE trail_n > 0 AND coalesce(fin.report_status, '') <> 'Out') SELECT unnest(['trail_mean', 'trail_zero_rate', 'last_week_vol', 'implied_total', 'is_home']) AS feature, round(unnest([corr(trail_mean, bust), corr(trail_zero_rate, bust), corr(last_week_vol, bust), corr(implied_total, bust), corr(is_home, bust)]), 6) AS corr, false AS suspicious FROM x")
+def bust_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return availability.closest_features(_busts(spark, d)).filter(F.col("feature").isin("trail_mean", "trail_zero_rate", "last_week_vol", "implied_total", "is_home")).withColumn("corr", F.round("corr", 6))
+
+
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "fx_forecasts")
     return rows.withColumn("x", F.pmod(F.xxhash64("row_id"), F.lit(100)) / 100.0).withColumn("y", F.col("y").cast("double"))
