@@ -1,11 +1,11 @@
-"""Registered queries of open bets and of the history row by row."""
+"""Registered queries of open bets, of the history row by row, and of projections that agree with totals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grading, ledger
+from ..operators import grading, ledger, reconcile
 from ..sources.fixtures import view, with_views
 from .market import DECIMAL, GRADED, r
 
@@ -71,3 +71,22 @@ def history_rows(spark: SparkSession, d: str) -> DataFrame:
 def user_history_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = ledger.user_history_rows(view(spark, d, "fx_bets"), _graded(spark, d), view(spark, d, "fx_games"), view(spark, d, "fx_players"))
     return rows.select("bet_id", "user_id", "pick_id", "season", "week", "player_name", "result", r("payout"), "slippage_cents")
+
+
+def _reconciled(spark: SparkSession, d: str) -> DataFrame:
+    plays = view(spark, d, "fx_plays")
+    cells = plays.groupBy("game_id", "player_id", "play_class").agg(F.sum(1.0 + F.col("yardline_100") % 5).alias("value"))
+    rows = plays.groupBy("game_id", "player_id").agg(F.count(F.lit(1)).cast("double").alias("total"))
+    columns = plays.groupBy("game_id", "play_class").agg(F.count(F.lit(1)).cast("double").alias("total"))
+    return reconcile.reconcile(cells, rows, columns, by="game_id", row="player_id", column="play_class", tolerance=1e-7, most=2000)
+
+
+@query("SELECT game_id, play_class, CAST(count(*) AS DOUBLE) AS total FROM fx_plays GROUP BY 1, 2")
+def reconciled_classes(spark: SparkSession, d: str) -> DataFrame:
+    """What players' adjusted numbers sum to by class: the totals that they were to meet."""
+    return _reconciled(spark, d).groupBy("game_id", "play_class").agg(F.round(F.sum("adjusted"), 4).alias("total"))
+
+
+@query("SELECT game_id, player_id, CAST(count(*) AS DOUBLE) AS total FROM fx_plays GROUP BY 1, 2")
+def reconciled_players(spark: SparkSession, d: str) -> DataFrame:
+    return _reconciled(spark, d).groupBy("game_id", "player_id").agg(F.round(F.sum("adjusted"), 4).alias("total"))
