@@ -101,6 +101,16 @@ def devig_methods(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("game_id", "market_type", "pair_line", "book", r(odds.multiplicative(a, b)).alias("multiplicative"), r(odds.additive(a, b)).alias("additive"), r(odds.power(a, b)).alias("power"))
 
 
+@query(f"""WITH {PAIRS}, bis AS (SELECT *, list_reduce(list_transform(range(60), lambda i: [i::DOUBLE]), lambda s, i: CASE WHEN prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) + prob_b ** (2.0 ** ((s[1] + s[2]) / 2.0)) > 1.0 THEN [(s[1] + s[2]) / 2.0, s[2]] ELSE [s[1], (s[1] + s[2]) / 2.0] END, [-7.0::DOUBLE, 7.0::DOUBLE]) AS s FROM pairs),
+m AS (SELECT *, prob_a / (prob_a + prob_b) AS mul, CASE WHEN least(prob_a, prob_b) > (prob_a + prob_b - 1) / 2 THEN prob_a - (prob_a + prob_b - 1) / 2 ELSE prob_a / (prob_a + prob_b) END AS add, prob_a ** (2.0 ** ((s[1] + s[2]) / 2.0)) AS pow FROM bis)
+SELECT game_id, market_type, pair_line, book, round(least(mul, add, pow) + 1e-9, 6) AS fair_prob_min, round(greatest(mul, add, pow) - least(mul, add, pow) + 1e-9, 6) AS disagreement FROM m""")
+def least_favourable(spark: SparkSession, d: str) -> DataFrame:
+    """The least fair probability of the first side under any method, and how far the methods are apart."""
+    a, b = F.col("prob_a"), F.col("prob_b")
+    rows = quotes.priced_pairs(_current(spark, d)).withColumn("low", odds.fair_prob_min(a, b)).withColumn("high", F.greatest(*[m(a, b) for m in odds.METHODS.values()]))
+    return rows.select("game_id", "market_type", "pair_line", "book", F.round(F.col("low") + 1e-9, 6).alias("fair_prob_min"), F.round(F.col("high") - F.col("low") + 1e-9, 6).alias("disagreement"))
+
+
 @query(f"WITH {FAIR} SELECT game_id, market_type, side, line, round(fair_prob, 6) AS fair_prob, round(sharp_prob, 6) AS sharp_prob, book_count, round(dispersion, 6) AS dispersion FROM fair")
 def fair_prices(spark: SparkSession, d: str) -> DataFrame:
     return _fair(spark, d).select("game_id", "market_type", "side", "line", r("fair_prob"), r("sharp_prob"), "book_count", r("dispersion"))

@@ -60,6 +60,14 @@ def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
     return identity.resolution_counts(_resolved(spark, d))
 
 
+@query(f"WITH k AS (SELECT *, {_norm('player_name')} AS name_key FROM fx_players), one AS (SELECT name_key, min(player_id) AS id FROM k GROUP BY 1 HAVING count(DISTINCT player_id) = 1) SELECT k.player_id AS source_id, CASE WHEN length(k.player_id) % 2 = 0 THEN k.player_id ELSE one.id END AS player_id FROM k LEFT JOIN one USING (name_key)")
+def ids_by_unique_name(spark: SparkSession, d: str) -> DataFrame:
+    """Records without an id get that of their name where only one player has it."""
+    players = view(spark, d, "fx_players").withColumn("name_key", names.normal_name(F.col("player_name")))
+    records = players.select(F.col("player_id").alias("source_id"), "name_key", F.when(F.length("player_id") % 2 == 0, F.col("player_id")).alias("player_id"))
+    return panel.resolve_by_unique_name(records, players).select("source_id", "player_id")
+
+
 @query("SELECT g.game_id FROM fx_games g WHERE NOT EXISTS (SELECT 1 FROM fx_picks p WHERE p.game_id = g.game_id AND p.tier = 'A' AND p.demo = 1)")
 def missing_weather(spark: SparkSession, d: str) -> DataFrame:
     return identity.missing_weather(view(spark, d, "fx_games"), view(spark, d, "fx_picks").filter("tier = 'A' and demo = 1")).select("game_id")
