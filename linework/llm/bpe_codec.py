@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .common import give_back
 from .token_counts import SPACE, Memo, byte_letters
 
 #: The split pattern of the word tokenizer; only what it matches is kept.
@@ -126,6 +127,7 @@ class Codec:
         self.words.clear()
         self.parts.clear()
         self.leaves.clear()
+        give_back()
 
 
 def normal(text: str) -> str:
