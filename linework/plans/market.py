@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds
 from ..operators import consensus, grading, picks, quotes, shop
+from ..sources.cuts import written
 from ..sources.fixtures import view, with_views
 
 AS_OF = "2001-08-01 00:00:00"
@@ -178,7 +179,8 @@ loose AS (SELECT a.*, (anchor_prob * ({DECIMAL.format('best_price')}) - 1.0) * 1
 
 
 def _loose(spark: SparkSession, d: str) -> DataFrame:
-    return shop.opportunities(_fair(spark, d), _current(spark, d), view(spark, d, "fx_games"), AS_OF, least_edge=-100.0, least_books=1, main_only=False)
+    """Written once: its ranking reads it several times."""
+    return written(shop.opportunities(_fair(spark, d), _current(spark, d), view(spark, d, "fx_games"), AS_OF, least_edge=-100.0, least_books=1, main_only=False))
 
 
 @query(f"""WITH {LOOSE}, k AS (SELECT *, row_number() OVER (PARTITION BY market_type ORDER BY edge_pct) AS i, count(*) OVER (PARTITION BY market_type) AS n FROM loose)
