@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation of the rows with both values, an aggregate; null where either never varies."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def weighted_median(entries: Column) -> Column:
     """Lower weighted median of array<struct<v, w>>: the first value that reaches half of the weight."""
     ordered = F.sort_array(entries)

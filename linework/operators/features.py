@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+from ..sources.feeds import weather_flags
+from .consensus import fair_prices
+from .grading import closing_quotes
 from .panel import kickoff_slot
 from .ratings import matchups
 
 SLOTS = ("early", "late", "primetime")
 _SIDES = ("home", "away")
 
-# Name and default of each feature that is filled from a schedule, ratings and reports, in order.
+class Feature(NamedTuple):
+    """``availability`` is pregame, or in_game for what is only known once the game runs; ``lag_hours`` is how long before kickoff a decision must be for it to lack the value."""
+
+    name: str
+    default: float
+    availability: str = "pregame"
+    lag_hours: float = 0.0
+
+
+# The features in order with what stands for a missing one.
 SPEC = [
-    ("market_spread", 0.0), ("market_total", 44.0), ("week", 1.0), ("kickoff_slot", 0.0),
-    *[(f"{s}_{u}_{c}", 0.0) for c in ("all", "pass", "rush") for s in _SIDES for u in ("off", "def")],
-    *[(f"{s}_edge_{c}", 0.0) for c in ("pass", "rush") for s in _SIDES], ("net_edge", 0.0), ("ratings_confident", 0.0),
-    *[(f"{s}_{m}", 0.0) for m in ("n_out", "n_questionable", "qb_out", "snap_share_out") for s in _SIDES], ("availability_known", 0.0),
+    Feature("market_spread", 0.0), Feature("market_total", 44.0), Feature("market_home_prob", 0.5), Feature("line_move_spread", 0.0), Feature("book_dispersion", 0.0), Feature("sharp_soft_delta", 0.0),
+    Feature("home_rest", 7.0), Feature("away_rest", 7.0), Feature("rest_diff", 0.0), Feature("div_game", 0.0), Feature("is_dome", 0.0), Feature("kickoff_slot", 0.0), Feature("week", 1.0),
+    Feature("wind_kph", 0.0), Feature("gust_kph", 0.0), Feature("high_wind", 0.0), Feature("temp_c", 15.0), Feature("precip_mm", 0.0),
+    *[Feature(f"{s}_{u}_{c}", 0.0) for c in ("all", "pass", "rush") for s in _SIDES for u in ("off", "def")],
+    *[Feature(f"{s}_edge_{c}", 0.0) for c in ("pass", "rush") for s in _SIDES], Feature("net_edge", 0.0), Feature("ratings_confident", 0.0),
+    *[Feature(f"{s}_{m}", 0.0) for m in ("n_out", "n_questionable", "qb_out", "snap_share_out") for s in _SIDES], Feature("availability_known", 0.0),
 ]
-NAMES = [name for name, _ in SPEC]
+NAMES = [f.name for f in SPEC]
+ROOFED = ("dome", "closed", "retractable")
 
 
 def no_post_columns(columns: list[str]) -> None:
@@ -28,24 +46,97 @@ def no_post_columns(columns: list[str]) -> None:
         raise ValueError(f"known only after the game: {', '.join(bad)}")
 
 
-def pick_features(df: DataFrame, spec: list[tuple[str, float]] = SPEC) -> DataFrame:
+def validate_availability(hours: float, spec: list[Feature] = SPEC) -> list[str]:
+    """What must not be used in a decision ``hours`` before kickoff, each with its reason."""
+    late = [f"{f.name}: {f.availability}" for f in spec if f.availability != "pregame"]
+    return late + [f"{f.name}: known {f.lag_hours:g} h before kickoff, decided {hours:g} h before" for f in spec if f.availability == "pregame" and f.lag_hours > hours]
+
+
+def pick_features(df: DataFrame, spec: list[Feature] = SPEC) -> DataFrame:
     """The features in their order, null as the default, absent as the default; other columns first."""
-    no_post_columns([name for name, _ in spec])
-    value = lambda name, default: F.coalesce(F.col(name).cast("double"), F.lit(float(default))) if name in df.columns else F.lit(float(default))
-    return df.select(*[c for c in df.columns if c not in dict(spec)], *[value(n, d).alias(n) for n, d in spec])
+    names = [f.name for f in spec]
+    no_post_columns(names)
+    value = lambda f: F.coalesce(F.col(f.name).cast("double"), F.lit(float(f.default))) if f.name in df.columns else F.lit(float(f.default))
+    return df.select(*[c for c in df.columns if c not in names], *[value(f).alias(f.name) for f in spec])
+
+
+def with_rest(games: DataFrame) -> DataFrame:
+    """Games with ``home_rest`` and ``away_rest``, the days since the team's game before in the season.
+
+    Null for a team's first game and for games without a kickoff, which are no games before either.
+    A schedule that has the columns keeps its own. A window holds one team's season.
+    """
+    if {"home_rest", "away_rest"} <= set(games.columns):
+        return games
+    side = lambda who: F.struct(F.col(f"{who}_team").alias("team"), F.lit(who).alias("who"))
+    played = games.filter("kickoff_utc is not null").select("game_id", "season", "kickoff_utc", F.explode(F.array(*[side(w) for w in _SIDES])).alias("s"))
+    before = F.lag("kickoff_utc").over(Window.partitionBy("season", "s.team").orderBy("kickoff_utc", "game_id"))
+    days = played.withColumn("days", F.datediff("kickoff_utc", before))
+    rest = days.groupBy("game_id").agg(*[F.max(F.when(F.col("s.who") == w, F.col("days"))).alias(f"{w}_rest") for w in _SIDES])
+    return games.drop("home_rest", "away_rest").join(rest, "game_id", "left")
+
 
+def weather_at_kickoff(readings: DataFrame, games: DataFrame, lead_hours: float = 0.0) -> DataFrame:
+    """(game_id, reading): the newest reading of each game that was known ``lead_hours`` before its kickoff.
 
-def training_matrix(games: DataFrame, ratings: DataFrame, availability: DataFrame | None = None) -> DataFrame:
+    ``reading_id`` breaks ties. What came later changes nothing; games without a kickoff have no reading.
+    """
+    starts = games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc")
+    lead = F.make_dt_interval(secs=F.lit(lead_hours * 3600.0).cast("decimal(18, 6)"))
+    known = readings.join(starts, "game_id").filter(F.col("knowledge_time") <= F.col("kickoff_utc") - lead)
+    rest = [c for c in readings.columns if c != "game_id"]
+    return known.groupBy("game_id").agg(F.max_by(F.struct(*rest), F.struct("knowledge_time", "reading_id")).alias("r")).select("game_id", "r.*")
+
+
+def game_market(observed: DataFrame, games: DataFrame, *, sharp: tuple[str, ...] = ("pinnacle",), method: str = "power") -> DataFrame:
+    """(game_id, market_home_prob, sharp_soft_delta, line_move_spread, book_dispersion) of what was quoted by kickoff.
+
+    The consensus is that of the moneyline, of each book's last price; the move is the mean over books of the last
+    home spread less the first, the dispersion the spread of the last ones. All are partial aggregates over one
+    join with the schedule, so a game with many quotes is reduced before it is shuffled. Games without quotes
+    have no row.
+    """
+    money = observed.filter("market_type = 'h2h'").withColumn("line", F.lit(0.0))
+    fair = fair_prices(closing_quotes(money, games), sharp=sharp, method=method).filter("side = 'home' and player_id = ''")
+    prob = fair.select("game_id", F.col("fair_prob").alias("market_home_prob"), (F.col("sharp_prob") - F.col("fair_prob")).alias("sharp_soft_delta"))
+    starts = games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc")
+    spread = observed.filter("market_type = 'spreads' and side = 'home'").join(starts, "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc"))
+    at = F.struct("observed_at", "seq")
+    by_book = spread.groupBy("game_id", "book").agg(F.min_by("line", at).alias("first"), F.max_by("line", at).alias("last"))
+    moved = by_book.groupBy("game_id").agg(F.avg(F.col("last") - F.col("first")).alias("line_move_spread"), F.stddev_pop("last").alias("book_dispersion"))
+    return prob.join(moved, "game_id", "full")
+
+
+def training_matrix(
+    games: DataFrame, ratings: DataFrame, availability: DataFrame | None = None, market: DataFrame | None = None, weather: DataFrame | None = None, *, require_market: bool = True
+) -> DataFrame:
     """A row for each game with a score: key, features in order, targets.
 
-    The schedule's line is positive where home is favoured, so it is subtracted from the margin.
-    Without ``availability`` its columns are zero and the width stays.
+    ``market`` is that of ``game_market`` and ``weather`` that of ``weather_at_kickoff``; without one of the
+    inputs its features have their defaults and the width stays. With ``require_market`` games without a spread
+    or total are left out. The schedule's line is positive where home is favoured, so it is subtracted from the
+    margin. Every join is by the game or by the team's week, each side with one row a key.
     """
-    rows = matchups(games.filter("home_score is not null and away_score is not null"), ratings)
+    played = games.filter("home_score is not null and away_score is not null")
+    if require_market:
+        played = played.filter("spread_line is not null and total_line is not null")
+    # Rest comes from the whole schedule: a game without a score is a game before all the same.
+    rested = with_rest(games).select("game_id", *[f"{s}_rest" for s in _SIDES])
+    rows = matchups(played.drop(*[f"{s}_rest" for s in _SIDES]).join(rested, "game_id", "left"), ratings)
     slot = F.lit(0.0)
     for i, name in enumerate(SLOTS):
         slot = F.when(kickoff_slot(F.col("kickoff_utc")) == name, float(i + 1)).otherwise(slot)
-    rows = rows.withColumns({"market_spread": F.col("spread_line"), "market_total": F.col("total_line"), "kickoff_slot": slot, "ratings_confident": F.col("confident").cast("double")})
+    rest = [F.coalesce(f"{s}_rest", F.lit(7)) for s in _SIDES]
+    rows = rows.withColumns({
+        "market_spread": F.col("spread_line"), "market_total": F.col("total_line"), "kickoff_slot": slot, "ratings_confident": F.col("confident").cast("double"),
+        "rest_diff": rest[0] - rest[1], **({"is_dome": F.lower("roof").isin(*ROOFED)} if "roof" in rows.columns else {}),
+    })
+    if market is not None:
+        rows = rows.join(market.select("game_id", "market_home_prob", "line_move_spread", "book_dispersion", "sharp_soft_delta"), "game_id", "left")
+    if weather is not None:
+        readings = ["temp_c", "wind_kph", "gust_kph", "precip_mm"]
+        rows = rows.join(weather.select("game_id", *readings), "game_id", "left")
+        rows = weather_flags(rows if "roof" in rows.columns else rows.withColumn("roof", F.lit(None).cast("string")))
     if availability is not None:
         for s in _SIDES:
             own = availability.select("season", "week", F.col("team").alias(f"{s}_team"), *[F.col(m).alias(f"{s}_{m}") for m in ("n_out", "n_questionable", "qb_out", "snap_share_out")])
@@ -61,18 +152,23 @@ def training_matrix(games: DataFrame, ratings: DataFrame, availability: DataFram
 
 
 def sanity(matrix: DataFrame) -> DataFrame:
-    """Checks (name, value, passed): the line must rise with the margin and the total with the points."""
-    wide = matrix.agg(F.coalesce(F.corr("market_spread", "margin"), F.lit(0.0)).alias("spread_margin"), F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct("game_id").cast("double").alias("games"))
-    return wide.select(F.explode(F.array(
-        F.struct(F.lit("rows_are_games").alias("name"), F.col("rows").alias("value"), (F.col("rows") == F.col("games")).alias("passed")),
-        F.struct(F.lit("spread_margin_corr").alias("name"), F.col("spread_margin").alias("value"), (F.col("spread_margin") > 0).alias("passed")),
-    )).alias("c")).select("c.*")
-
+    """Checks (name, value, lo, hi, passed) of a matrix, in one aggregate.
 
-def latest_weather(readings: DataFrame) -> DataFrame:
-    """The newest reading of each game, by knowledge time."""
-    rest = [c for c in readings.columns if c != "game_id"]
-    return readings.groupBy("game_id").agg(F.max_by(F.struct(*rest), "knowledge_time").alias("r")).select("game_id", "r.*")
+    The line must rise with the margin and the total with the points; games are rows; the mean residual and the
+    share of covers lie within four standard errors of 0 and one half.
+    """
+    n = F.count(F.lit(1)).cast("double")
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    checks = {
+        "duplicate_games": (n - F.count_distinct("game_id"), 0.0, 0.0),
+        "spread_margin_corr": (some(correlation("market_spread", "margin")), 1e-9, 1.0),
+        "total_points_corr": (some(correlation("market_total", F.col("total_residual") + F.col("market_total"))), 1e-9, 1.0),
+        "mean_residual_se": (some(F.avg("residual") / (F.stddev_samp("residual") / F.sqrt(n))), -4.0, 4.0),
+        "home_cover_se": (some((F.avg("home_cover") - 0.5) * 2.0 * F.sqrt(n)), -4.0, 4.0),
+    }
+    wide = matrix.agg(*[value.alias(name) for name, (value, _, _) in checks.items()])
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, (_, lo, hi) in checks.items()])).alias("c"))
+    return rows.select("c.*").withColumn("passed", F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def market_features(changes: DataFrame, games: DataFrame) -> DataFrame:

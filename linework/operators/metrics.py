@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+
 
 def binary_metrics(df: DataFrame, y: str, p: str, *by: str, clip: float = 1e-12) -> DataFrame:
     """Brier score, log loss and accuracy at one half."""
@@ -132,7 +134,7 @@ def forecast_errors(df: DataFrame, actual: str, expected: str, sd: str, over: st
     z = err / F.col(sd)
     share = lambda c: F.avg(c.cast("double"))
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err).alias("bias"), F.corr(expected, actual).alias("corr"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err).alias("bias"), correlation(expected, actual).alias("corr"),
         share(F.abs(z) <= 1.0).alias("within_1sd"), share(F.abs(z) <= 2.0).alias("within_2sd"), F.stddev_pop(z).alias("z_sd"), share(F.col(over)).alias("over_rate"),
     )
 

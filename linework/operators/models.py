@@ -36,6 +36,14 @@ def residual_model(features: list[str], residual: str, sd: float, *, linear: boo
     return fit_predict
 
 
+def residual_importances(train: DataFrame, features: list[str], residual: str, *, depth: int = 3, rounds: int = 20) -> DataFrame:
+    """(feature, importance) of boosted trees on the residual, one row a feature, 0 for one that no tree splits on."""
+    learner = GBTRegressor(labelCol=residual, maxDepth=depth, maxIter=rounds, seed=7)
+    model = Pipeline(stages=[_assembled(features), learner]).fit(train.filter(F.col(residual).isNotNull()).fillna(0.0, features))
+    weights = model.stages[-1].featureImportances.toArray()
+    return train.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, weights, strict=True)], "feature string, importance double")
+
+
 def probability_model(features: list[str], y: str, *, trees: bool = False):
     def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
         learner = GBTClassifier(labelCol=y, maxDepth=3, maxIter=20, seed=7) if trees else LogisticRegression(labelCol=y, regParam=0.01)

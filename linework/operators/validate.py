@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
 from .metrics import binary_metrics
 
 #: Accuracy against the market above which a result is not believed.
@@ -61,8 +62,23 @@ def shuffled(df: DataFrame, y: str, seed: int = 11) -> DataFrame:
 
 def leakage_report(df: DataFrame, features: list[str], y: str, fit_predict: FitPredict, *, least_train: int = 5, most_corr: float = 0.5) -> DataFrame:
     """Checks (name, value, limit, passed): features too close to the outcome, accuracy too good, and skill on shuffled outcomes."""
-    wide = df.agg(*[F.abs(F.corr(c, y)).alias(c) for c in features])
+    wide = df.agg(*[F.abs(correlation(c, y)).alias(c) for c in features])
     corr = wide.select(F.explode(F.array(*[F.struct(F.concat(F.lit("corr:"), F.lit(c)).alias("name"), F.coalesce(F.col(c), F.lit(0.0)).alias("value"), F.lit(most_corr).alias("limit")) for c in features])).alias("c")).select("c.*")
     accuracy = lambda rows, name, limit: binary_metrics(walk_forward(rows, fit_predict, least_train=least_train), y, "p").select(F.lit(name).alias("name"), F.col("accuracy").alias("value"), F.lit(limit).alias("limit"))
     every = corr.unionByName(accuracy(df, "accuracy", 0.70)).unionByName(accuracy(shuffled(df, y), "shuffled_accuracy", TRIPWIRE))
     return every.withColumn("passed", F.col("value") < F.col("limit"))
+
+
+def timing_checks(df: DataFrame, late: list[str], key: str) -> DataFrame:
+    """Checks (name, value, limit, passed) of order in time, in the shape of ``leakage_report``.
+
+    ``late`` are the features that a decision would come too early for; rows need a season, and
+    ``key`` must not repeat.
+    """
+    count = lambda c: c.cast("double")
+    values = {
+        "late_features": F.lit(float(len(late))), "rows_without_season": count(F.count_if(F.col("season").isNull())), "repeated_keys": count(F.count(F.lit(1)) - F.count_distinct(key)),
+    }
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[v.alias(k) for k, v in values.items()])
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value"), F.lit(1.0).alias("limit")) for k in values])).alias("c")).select("c.*")
+    return rows.withColumn("passed", F.col("value") < F.col("limit"))

@@ -47,6 +47,23 @@ FROM (SELECT DISTINCT CAST(floor(l_partkey/10) AS BIGINT) AS game_id FROM lineit
 """,
 )
 
+_block(
+    "fx_grounds",
+    """
+SELECT game_id, CASE game_id%8 WHEN 0 THEN 'dome' WHEN 1 THEN 'Closed' WHEN 2 THEN 'retractable' WHEN 3 THEN NULL ELSE 'outdoors' END AS roof, CASE WHEN game_id%3=0 THEN 1 ELSE 0 END AS div_game
+FROM (SELECT DISTINCT CAST(floor(l_partkey/10) AS BIGINT) AS game_id FROM lineitem) g
+""",
+)
+
+_block(
+    "fx_weather",
+    """
+SELECT l_orderkey*10+l_linenumber AS reading_id, CAST(floor(l_partkey/10) AS BIGINT) AS game_id, CAST('2001-04-20 05:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST((l_orderkey*7)%230 AS INT) AS knowledge_time,
+  CAST(l_quantity AS DOUBLE) - 12.0 AS temp_c, CAST(l_linenumber*6 AS DOUBLE) AS wind_kph, CASE WHEN l_linenumber=4 THEN NULL ELSE CAST(l_linenumber*9 AS DOUBLE) END AS gust_kph, CASE WHEN l_linestatus='O' THEN 0.0 ELSE CAST(l_linenumber AS DOUBLE)/2.0 END AS precip_mm
+FROM lineitem
+""",
+)
+
 _block(
     "fx_fields",
     """
