@@ -78,13 +78,13 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], *by: s
 
 
 def auc(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
-    """Area under the ROC curve with ties at half.
+    """Area under the ROC curve with ties at half; null where all outcomes are alike.
 
     Rows are counted by distinct score first; running sums then go over scores, in ranges.
     """
     scores = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1.0 - F.col(y)).alias("neg"))
     ranked = prefix_sums(scores, p, ["neg"], *by)
-    return ranked.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def bin_of(p: Column, bins: int = 10) -> Column:

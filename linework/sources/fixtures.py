@@ -124,6 +124,26 @@ GROUP BY 1,2,3
 """,
 )
 
+_block(
+    "fx_injuries",
+    """
+SELECT event_id AS report_id, concat('P',CAST(user_id AS VARCHAR(6))) AS player_id, 2015 + CAST(event_id % 7 AS INT) AS season, 1 + CAST(floor((dayofmonth(ts)-1)/2.0) AS INT) AS week,
+  CASE event_type WHEN 'error' THEN 'Out' WHEN 'click' THEN 'Questionable' WHEN 'view' THEN NULL ELSE 'Doubtful' END AS report_status,
+  CASE CAST(floor(value) AS INT)%4 WHEN 0 THEN 'Did Not Participate In Practice' WHEN 1 THEN 'Limited Participation in Practice' WHEN 2 THEN ' Full Participation in Practice' ELSE NULL END AS practice_status,
+  CASE WHEN event_id%15=0 THEN 'REG' WHEN event_id%41=0 THEN 'POST' ELSE NULL END AS season_type,
+  CASE user_id%5 WHEN 0 THEN 'QB' WHEN 1 THEN 'RB' WHEN 2 THEN 'WR' WHEN 3 THEN 'TE' ELSE 'S' END AS position, ts AS knowledge_time
+FROM events
+""",
+)
+
+_block(
+    "fx_snaps",
+    """
+SELECT concat('pfr',CAST(user_id AS VARCHAR(6))) AS source_id, 2015 + CAST(event_id % 7 AS INT) AS season, 1 + CAST(floor((dayofmonth(ts)-1)/2.0) AS INT) AS week, max((1.0 + CAST(event_id % 64 AS DOUBLE)) / 64.0) AS snap_pct, sum(CAST(event_id % 9 AS DOUBLE)) / 64.0 AS usage_share
+FROM events WHERE event_id % 7 > 0 AND (CAST(floor(value) AS INT)%4 <> 0 OR event_id % 5 = 0) GROUP BY 1,2,3
+""",
+)
+
 _block(
     "fx_forecasts",
     """
