@@ -95,6 +95,25 @@ def load_bundle(spark, path: str, spec: list[dict]):
     return PipelineModel.load(f"{path}/model"), manifest
 
 
+def bundle_registry(spark, root: str, spec: list[dict], registered: DataFrame) -> DataFrame:
+    """(version, spec_hash, weights, spec_matches, active), the newest version first: every bundle that was exported under ``root``.
+
+    ``registered`` is (version, active). A manifest that is no JSON or has no hash is passed over; a bundle
+    that nobody registered is not active. One small file a bundle is read.
+    """
+    files = spark.read.text(f"{root}/*/manifest").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("version"), F.from_json("value", "spec_hash string, weights map<string, double>").alias("m"))
+    rows = files.filter("m.spec_hash is not null").select("version", "m.*")
+    known = registered.groupBy("version").agg(F.bool_or("active").alias("active"))
+    met = rows.join(known, "version", "left").withColumns({"spec_matches": F.col("spec_hash") == spec_hash(spec), "active": F.coalesce("active", F.lit(False))})
+    return met.select("version", "spec_hash", "weights", "spec_matches", "active").orderBy(F.desc("version"))
+
+
+def active_weights(registry: DataFrame) -> DataFrame:
+    """(name, weight) of the newest active bundle; none if it was trained with other features, so that nothing is blended in."""
+    newest = registry.filter("active").agg(F.max_by(F.struct("spec_matches", "weights"), "version").alias("b"))
+    return newest.filter("b.spec_matches").select(F.explode("b.weights").alias("name", "weight"))
+
+
 def blend_weight(weights: DataFrame, picks: DataFrame) -> DataFrame:
     """Weight of each pick by its market, else its class, else 0; ``weights`` is (name, weight)."""
     by_market = weights.select(F.col("name").alias("market_type"), F.col("weight").alias("_m"))

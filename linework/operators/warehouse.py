@@ -12,11 +12,17 @@ def depth_bucket(air_yards: Column) -> Column:
 
 
 def plays(raw: DataFrame) -> DataFrame:
-    """Plays of both known teams and a known class, with the flags that the aggregates use."""
+    """Plays of both known teams and a known class, with the flags that the aggregates use.
+
+    ``neutral`` is a win chance from 10 to 90 percent and ``explosive`` a gain of 20 yards or more; both are 0 where
+    the source has no ``wp`` or ``yards_gained``.
+    """
+    known = lambda name, test: F.coalesce(test, F.lit(False)).cast("int") if name in raw.columns else F.lit(0)
     real = raw.filter(F.col("offense").isNotNull() & F.col("defense").isNotNull() & F.col("play_class").isin("pass", "rush"))
     return real.withColumns({
         "success": (F.coalesce(F.col("epa"), F.lit(0.0)) > 0).cast("int"), "early_down": (F.col("down") <= 2).cast("int"),
         "red_zone": (F.col("yardline_100") <= 20).cast("int"), "depth_bucket": depth_bucket(F.col("air_yards")),
+        "neutral": known("wp", F.col("wp").between(0.10, 0.90)), "explosive": known("yards_gained", F.col("yards_gained") >= 20),
     })
 
 
@@ -93,3 +99,10 @@ def verify(flagged: DataFrame, weeks: DataFrame) -> DataFrame:
     wide = base.join(F.broadcast(shares))
     rows = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in limits])).alias("c"))
     return rows.select("c.*").withColumn("passed", F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False)))
+
+
+def team_situations(flagged: DataFrame) -> DataFrame:
+    """(season, team): plays, those in neutral situations and their mean epa, and the share of explosive ones."""
+    neutral = F.col("neutral") == 1
+    return flagged.groupBy("season", F.col("offense").alias("team")).agg(
+        F.count(F.lit(1)).alias("plays"), F.count_if(neutral).alias("neutral_plays"), _mean("epa", neutral).alias("off_epa_neutral"), _mean("explosive").alias("off_explosive_rate"))

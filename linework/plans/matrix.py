@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, models, panel, validate
+from ..operators import features, models, panel, validate
 from ..sources.cuts import written
 from ..sources.fixtures import view, with_views
 from .market import AT_KICKOFF, CURRENT, FAIR, SHARP, r

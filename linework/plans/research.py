@@ -34,6 +34,15 @@ def flagged_plays(spark: SparkSession, d: str) -> DataFrame:
     return _plays(spark, d).select("play_id", "season", "week", "offense", "defense", "play_class", r("epa"), "success", "early_down", "red_zone", "depth_bucket")
 
 
+SITUATIONS = "si AS (SELECT *, CASE WHEN play_id % 50 = 0 THEN NULL ELSE (play_id % 101) / 100.0 END AS wp, play_id % 37 - 9 AS yards_gained FROM fx_plays)"
+
+
+@query(f"WITH {SITUATIONS} SELECT season, offense AS team, count(*) AS plays, CAST(sum(CASE WHEN wp >= 0.1 AND wp <= 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS neutral_plays, round(avg(CASE WHEN wp >= 0.1 AND wp <= 0.9 THEN epa END), 6) AS off_epa_neutral, round(avg(CASE WHEN yards_gained >= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS off_explosive_rate FROM si GROUP BY ALL")
+def team_situations(spark: SparkSession, d: str) -> DataFrame:
+    raw = view(spark, d, "fx_plays").withColumn("wp", F.when(F.col("play_id") % 50 != 0, (F.col("play_id") % 101) / F.lit(100.0))).withColumn("yards_gained", F.col("play_id") % 37 - 9)
+    return warehouse.team_situations(warehouse.plays(raw)).select("season", "team", "plays", "neutral_plays", r("off_epa_neutral"), r("off_explosive_rate"))
+
+
 @query(f"""WITH {PLAYS} SELECT season, week, offense AS team, defense AS opponent, game_id, count(*) AS plays, round(avg(epa), 6) AS off_epa, round(avg(CASE WHEN play_class = 'pass' THEN epa END), 6) AS off_pass_epa, round(avg(CASE WHEN play_class = 'rush' THEN epa END), 6) AS off_rush_epa,
  round(avg(CASE WHEN early_down = 1 THEN epa END), 6) AS off_epa_early, round(avg(success::DOUBLE), 6) AS off_success, round(avg(CASE WHEN red_zone = 1 THEN epa END), 6) AS off_epa_redzone, round(sum(CASE WHEN play_class = 'pass' THEN 1.0::DOUBLE ELSE 0 END) / count(*), 6) AS pass_rate, round(avg(CASE WHEN play_class = 'pass' THEN air_yards END), 6) AS avg_air_yards FROM pl GROUP BY ALL""")
 def team_weeks(spark: SparkSession, d: str) -> DataFrame:
