@@ -84,7 +84,9 @@ _TERMS = {
     "net_edge": "(h.off_all - a.def_all) - (a.off_all - h.def_all)", "ratings_confident": "coalesce(h.sure AND a.sure, false)",
     **{f"{s}_{m}": f"x{s[0]}.{m}" for s in ("home", "away") for m in ("n_out", "n_questionable", "qb_out", "snap_share_out")}, "availability_known": "xh.n_out IS NOT NULL OR xa.n_out IS NOT NULL",
 }
-_PICKED = ", ".join(f"round(coalesce(CAST({_TERMS[f.name]} AS DOUBLE), {f.default}), 6) AS {f.name}" for f in features.SPEC)
+# The snap shares of the table are rounded to six digits where some are ties, which the engines break differently.
+_DIGITS = {name: 3 if "snap_share" in name else 6 for name in features.NAMES}
+_PICKED = ", ".join(f"round(coalesce(CAST({_TERMS[f.name]} AS DOUBLE), {f.default}), {_DIGITS[f.name]}) AS {f.name}" for f in features.SPEC)
 _WIDE = ", ".join(f"max(CASE WHEN play_class = '{c}' THEN {u}_rating END) AS {u}_{c}" for c in ("all", "pass", "rush") for u in ("off", "def"))
 MATRIX = f"""{GAME_MARKET}, {REST.replace('sides AS', 'two_sides AS').replace('FROM sides', 'FROM two_sides')}, {WEATHER}, {SIMPLE}, {REGULAR}, {SNAPS},
 av AS (SELECT y.season, week, team, sum(CASE WHEN report_status = 'Out' THEN 1 ELSE 0 END) AS n_out, sum(CASE WHEN report_status = 'Questionable' THEN 1 ELSE 0 END) AS n_questionable, max(CASE WHEN report_status = 'Out' AND position = 'QB' THEN 1 ELSE 0 END) AS qb_out, coalesce(sum(CASE WHEN report_status = 'Out' THEN prior_snap END), 0.0) AS snap_share_out FROM sn CROSS JOIN (SELECT unnest(range(1995, 2002)) AS season) y GROUP BY ALL),
@@ -98,7 +100,7 @@ mx AS (SELECT g.game_id, g.season, home_score - away_score AS margin, home_score
 
 @query(f"WITH {MATRIX} SELECT game_id, CAST(season AS INT) AS season, margin, residual, CAST(cover AS INT) AS home_cover, total_residual, CAST(ov AS INT) AS over, {', '.join(features.NAMES)} FROM mx")
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _feature_matrix(spark, d).select("game_id", "season", "margin", "residual", "home_cover", "total_residual", "over", *[r(c) for c in features.NAMES])
+    return _feature_matrix(spark, d).select("game_id", "season", "margin", "residual", "home_cover", "total_residual", "over", *[r(c, _DIGITS[c]) for c in features.NAMES])
 
 
 @query(f"""WITH {MATRIX}, one AS (SELECT count(*) AS n, count(DISTINCT game_id) AS games, corr(market_spread, margin) AS c, corr(market_total, total_residual + market_total) AS t, avg(residual) AS m, stddev_samp(residual) / sqrt(count(*)) AS se, avg(CAST(cover AS INT)) AS k FROM mx)
