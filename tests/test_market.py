@@ -236,3 +236,22 @@ def test_three_way_prices_count_the_draw(spark):
     assert sum(r.fair_prob for r in got.values()) == pytest.approx(1.0)
     raw = [100 / 220, 100 / 350, 100 / 300]
     assert got["home"].sharp_prob == pytest.approx(raw[0] / sum(raw))
+
+
+def test_fields_across_batches(spark):
+    """Markets that lie across Arrow batches are whole; a book with a missing, repeated or broken outcome is told apart."""
+    rows = [(m, f"b{b}", f"s{s}", 150 + 10 * s + m % 90 + b) for m in range(300) for b in range(3) for s in range(3)]
+    rows += [(m, "short", f"s{s}", 200) for m in range(300) for s in range(2)] + [(7, "twice", s, 200) for s in ("s0", "s1", "s2", "s2")] + [(8, "broken", f"s{s}", 0 if s else 200) for s in range(3)]
+    df = spark.createDataFrame(rows, "m long, book string, side string, price int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = consensus.fair_fields(df, ["m"], ["power", "shin"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {(r.m, r.book, r.side) for r in got} == {(m, f"b{b}", f"s{s}") for m in range(300) for b in range(3) for s in range(3)} | {(8, "broken", f"s{s}") for s in range(3)}
+    assert len(got) == 2703 and all(r.n_sides == 3 for r in got) and all((r.power is None) == (r.shin_used is None) == (r.book == "broken") for r in got)
+    sums = {}
+    for r in got:
+        sums[r.m, r.book] = sums.get((r.m, r.book), 0.0) + (r.power or 0.0)
+    assert all(v == pytest.approx(0.0 if b == "broken" else 1.0) for (_, b), v in sums.items())
