@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
+from ..sources.cuts import written
 from .metrics import binary_metrics
 
 #: Accuracy against the market above which a result is not believed.
@@ -61,11 +62,14 @@ def shuffled(df: DataFrame, y: str, seed: int = 11) -> DataFrame:
 
 
 def leakage_report(df: DataFrame, features: list[str], y: str, fit_predict: FitPredict, *, least_train: int = 5, most_corr: float = 0.5) -> DataFrame:
-    """Checks (name, value, limit, passed): features too close to the outcome, accuracy too good, and skill on shuffled outcomes."""
+    """Checks (name, value, limit, passed): features too close to the outcome, accuracy too good, and skill on shuffled outcomes.
+
+    Every fold reads ``df`` several times, so it should be a table; the shuffled rows are written once.
+    """
     wide = df.agg(*[F.abs(correlation(c, y)).alias(c) for c in features])
     corr = wide.select(F.explode(F.array(*[F.struct(F.concat(F.lit("corr:"), F.lit(c)).alias("name"), F.coalesce(F.col(c), F.lit(0.0)).alias("value"), F.lit(most_corr).alias("limit")) for c in features])).alias("c")).select("c.*")
     accuracy = lambda rows, name, limit: binary_metrics(walk_forward(rows, fit_predict, least_train=least_train), y, "p").select(F.lit(name).alias("name"), F.col("accuracy").alias("value"), F.lit(limit).alias("limit"))
-    every = corr.unionByName(accuracy(df, "accuracy", 0.70)).unionByName(accuracy(shuffled(df, y), "shuffled_accuracy", TRIPWIRE))
+    every = corr.unionByName(accuracy(df, "accuracy", 0.70)).unionByName(accuracy(written(shuffled(df, y)), "shuffled_accuracy", TRIPWIRE))
     return every.withColumn("passed", F.col("value") < F.col("limit"))
 
 

@@ -291,8 +291,9 @@ def bust_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: every fold reads it several times."""
     rows = view(spark, d, "fx_forecasts")
-    return rows.withColumn("x", F.pmod(F.xxhash64("row_id"), F.lit(100)) / 100.0).withColumn("y", F.col("y").cast("double"))
+    return written(rows.withColumn("x", F.pmod(F.xxhash64("row_id"), F.lit(100)) / 100.0).withColumn("y", F.col("y").cast("double")))
 
 
 @query()
