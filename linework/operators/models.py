@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf
+from ..sources.cuts import written
 from .metrics import auc, binary_metrics
 from .validate import ranked, walk_forward
 
@@ -56,9 +57,9 @@ def probability_model(features: list[str], y: str, *, trees: bool = False):
 
 def two_arm(df: DataFrame, base: list[str], extra: list[str], y: str, *, least_train: int = 2) -> DataFrame:
     """AUC and Brier score of each season with and without the extra features, and what they add."""
-    arms = {}
+    arms, df = {}, written(df.select("season", y, *base, *extra))  # read by every fold of both arms
     for name, features in (("base", base), ("full", base + extra)):
-        scored = walk_forward(df, probability_model(features, y), least_train=least_train)
+        scored = written(walk_forward(df, probability_model(features, y), least_train=least_train).select("season", y, "p"))
         arms[name] = auc(scored, y, "p", "season").join(binary_metrics(scored, y, "p", "season").select("season", "brier"), "season").select("season", F.col("auc").alias(f"auc_{name}"), F.col("brier").alias(f"brier_{name}"))
     return arms["base"].join(arms["full"], "season").withColumn("auc_gain", F.col("auc_full") - F.col("auc_base"))
 
