@@ -255,3 +255,17 @@ def test_fields_across_batches(spark):
     for r in got:
         sums[r.m, r.book] = sums.get((r.m, r.book), 0.0) + (r.power or 0.0)
     assert all(v == pytest.approx(0.0 if b == "broken" else 1.0) for (_, b), v in sums.items())
+
+
+def test_quotes_and_shuffles_are_made_once(spark, small, monkeypatch):
+    """What several steps read is written once, not worked out anew for each."""
+    from linework.operators import grading, quotes
+    from linework.plans import market
+
+    made = []
+    for module, name in ((quotes, "current_quotes"), (grading, "closing_quotes")):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _own=own, _name=name: made.append(_name) or _own(*a))
+    for query in (market.market_funnel, market.edge_curve, market.edge_summary):
+        made.clear()
+        assert query(spark, small).count() and made == ["current_quotes"]
