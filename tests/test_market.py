@@ -269,3 +269,5 @@ def test_quotes_and_shuffles_are_made_once(spark, small, monkeypatch):
     for query in (market.market_funnel, market.edge_curve, market.edge_summary):
         made.clear()
         assert query(spark, small).count() and made == ["current_quotes"]
+    plan = market.closing_lines(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # the quotes are read from the written table
