@@ -7,11 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation
+from ..functions import odds
+from ..functions.stats import correlation, weighted_median
 from ..sources.feeds import weather_flags
-from .consensus import fair_prices
-from .grading import closing_quotes
+from .consensus import BOOK_WEIGHTS, book_weight
 from .panel import kickoff_slot
+from .quotes import with_hold
 from .ratings import matchups
 
 SLOTS = ("early", "late", "primetime")
@@ -92,19 +93,28 @@ def game_market(observed: DataFrame, games: DataFrame, *, sharp: tuple[str, ...]
     """(game_id, market_home_prob, sharp_soft_delta, line_move_spread, book_dispersion) of what was quoted by kickoff.
 
     The consensus is that of the moneyline, of each book's last price; the move is the mean over books of the last
-    home spread less the first, the dispersion the spread of the last ones. All are partial aggregates over one
-    join with the schedule, so a game with many quotes is reduced before it is shuffled. Games without quotes
-    have no row.
+    home spread less the first, the dispersion the spread of the last ones. One join with the schedule deals the
+    quotes by game; they are reduced to a row a book and then to one a game where they are, without another
+    shuffle. The consensus of home is what ``fair_prices`` makes of ``closing_quotes``. Games without
+    quotes have no row.
     """
-    money = observed.filter("market_type = 'h2h'").withColumn("line", F.lit(0.0))
-    fair = fair_prices(closing_quotes(money, games), sharp=sharp, method=method).filter("side = 'home' and player_id = ''")
-    prob = fair.select("game_id", F.col("fair_prob").alias("market_home_prob"), (F.col("sharp_prob") - F.col("fair_prob")).alias("sharp_soft_delta"))
-    starts = games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc")
-    spread = observed.filter("market_type = 'spreads' and side = 'home'").join(starts, "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc"))
-    at = F.struct("observed_at", "seq")
-    by_book = spread.groupBy("game_id", "book").agg(F.min_by("line", at).alias("first"), F.max_by("line", at).alias("last"))
-    moved = by_book.groupBy("game_id").agg(F.avg(F.col("last") - F.col("first")).alias("line_move_spread"), F.stddev_pop("last").alias("book_dispersion"))
-    return prob.join(moved, "game_id", "full")
+    money, spread = (F.col("market_type") == "h2h") & (F.col("player_id") == "") & F.col("side").isin(*_SIDES), (F.col("market_type") == "spreads") & (F.col("side") == "home")
+    kind = F.when(spread, 2).when(F.col("side") == "home", 0).otherwise(1)
+    used = observed.filter(money | spread).select("game_id", kind.alias("kind"), "book", "line", "price", "observed_at", "seq")
+    starts = games.filter("kickoff_utc is not null").select("game_id", "kickoff_utc").hint("merge")  # sorts by game, as the aggregates after it do
+    known = used.join(starts, "game_id").filter(F.col("observed_at") <= F.col("kickoff_utc"))
+    ends = known.groupBy("game_id", "kind", "book").agg(
+        F.max(F.struct("observed_at", "seq", "price", "line")).alias("last"), F.min(F.when(F.col("kind") == 2, F.struct("observed_at", "seq", "line"))).alias("first"))
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    by_book = ends.groupBy("game_id", "book").agg(of(0, "last.price").alias("price_a"), of(1, "last.price").alias("price_b"), of(2, "first.line").alias("first"), of(2, "last.line").alias("last"), F.max(F.col("kind") == 2).alias("moved"))
+    whole = F.col("plausible")
+    fair = with_hold(by_book).withColumns({"w": book_weight(BOOK_WEIGHTS), "p": F.when(whole, odds.devig(F.col("prob_a"), F.col("prob_b"), method))})
+    out = fair.groupBy("game_id").agg(
+        F.collect_list(F.when(whole, F.struct(F.col("p").alias("v"), "w"))).alias("entries"), F.avg(F.when(whole & F.col("book").isin(*sharp), F.col("p"))).alias("sharp_prob"),
+        F.avg(F.col("last") - F.col("first")).alias("line_move_spread"), F.stddev_pop("last").alias("book_dispersion"), F.max("moved").alias("moved"),
+    ).filter("size(entries) > 0 or moved")
+    prob = out.withColumn("market_home_prob", F.explode(F.array(weighted_median(F.col("entries")))))  # a generator, so that it is worked out once
+    return prob.select("game_id", "market_home_prob", (F.col("sharp_prob") - F.col("market_home_prob")).alias("sharp_soft_delta"), "line_move_spread", "book_dispersion")
 
 
 def training_matrix(

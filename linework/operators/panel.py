@@ -89,8 +89,8 @@ def prior_snap_share(reports: DataFrame, usage: DataFrame, weeks: int = 4) -> Da
 
 def availability_summary(reports: DataFrame, usage: DataFrame) -> DataFrame:
     """Per team and week: players out and questionable, whether a quarterback is out, snap share missing."""
-    final = latest_reports(reports.filter(regular_season(F.col("season_type"))), "player_id", "season", "week")
-    met = prior_snap_share(final, usage)
+    needed = reports.filter(regular_season(F.col("season_type"))).select("report_id", "player_id", "season", "week", "team", "report_status", "position", "knowledge_time")
+    met = prior_snap_share(latest_reports(needed, "player_id", "season", "week"), usage)
     out = F.col("report_status") == "Out"
     return met.groupBy("season", "week", "team").agg(
         F.count_if(out).alias("n_out"), F.count_if(F.col("report_status") == "Questionable").alias("n_questionable"),

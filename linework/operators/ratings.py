@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odds import shrink
@@ -21,12 +21,18 @@ def with_all_class(plays: DataFrame) -> DataFrame:
 def decayed_sums(plays: DataFrame, decay: float = 0.93) -> DataFrame:
     """For each cutoff week and pair of units: decayed weight, weighted epa and plays of earlier weeks.
 
-    Plays are summed by week first; each weekly cell is then handed to the later weeks of its
-    season by an equi join on the season, at most a season's weeks for a cell.
+    Plays are summed by week first, once; the class of all plays adds up these cells. Each weekly cell is
+    then handed to the later weeks of its season, at most a season's weeks for a cell. The last week
+    comes from the cells too: a window holds a season's, as many as pairs of units and weeks. Cells of
+    unknown units or seasons count for nothing; they go after the window, as a filter before it would work
+    out the keys of every play twice.
     """
-    weekly = with_all_class(plays).groupBy("season", "week", "play_class", "offense", "defense").agg(F.sum("epa").alias("epa"), F.count(F.lit(1)).alias("n"))
-    last = plays.groupBy("season").agg(F.max("week").alias("last_week"))
-    later = weekly.join(F.broadcast(last), "season").filter("week < last_week").withColumn("cutoff", F.explode(F.sequence(F.col("week") + 1, F.col("last_week"))))
+    cell = ["season", "week", "play_class", "offense", "defense"]
+    known = F.col("season").isNotNull() & F.col("offense").isNotNull() & F.col("defense").isNotNull()
+    summed = plays.groupBy(*cell).agg(F.sum("epa").alias("epa"), F.count(F.lit(1)).alias("n"))
+    weekly = with_all_class(summed).groupBy(*cell).agg(F.sum("epa").alias("epa"), F.sum("n").alias("n"))
+    last = weekly.withColumn("last_week", F.max(F.when(known, F.col("week"))).over(Window.partitionBy("season")))
+    later = last.filter(known & (F.col("week") < F.col("last_week"))).withColumn("cutoff", F.explode(F.sequence(F.col("week") + 1, F.col("last_week"))))
     w = F.pow(F.lit(decay), F.col("cutoff") - F.col("week"))
     return later.groupBy("season", "cutoff", "play_class", "offense", "defense").agg(F.sum(w * F.col("n")).alias("w"), F.sum(w * F.col("epa")).alias("w_epa"), F.sum("n").alias("n"))
 

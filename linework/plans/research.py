@@ -95,18 +95,23 @@ def warehouse_verify(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.verify(flagged, warehouse.player_weeks(flagged)).select("name", r("value"), "passed")
 
 
+def _rated_plays(spark: SparkSession, d: str) -> DataFrame:
+    """Plays of a known class; the sums by week leave out unknown teams themselves."""
+    return view(spark, d, "fx_plays").filter(F.col("play_class").isin("pass", "rush"))
+
+
 DECAYED = """wk AS (SELECT season, week, c AS play_class, offense, defense, sum(epa) AS epa, count(*) AS n FROM (SELECT *, unnest([play_class, 'all']) AS c FROM fx_plays) GROUP BY ALL),
 dec AS (SELECT w.season, c.cutoff, w.play_class, offense, defense, sum(0.93 ** (c.cutoff - w.week) * n) AS w, sum(0.93 ** (c.cutoff - w.week) * epa) AS w_epa, CAST(sum(n) AS BIGINT) AS n FROM wk w JOIN (SELECT DISTINCT season, week AS cutoff FROM wk) c ON c.season = w.season AND c.cutoff > w.week GROUP BY ALL)"""
 
 
 @query(f"WITH {DECAYED} SELECT season, cutoff, play_class, offense, defense, round(w, 6) AS w, round(w_epa, 6) AS w_epa, n FROM dec")
 def decayed_sums(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.decayed_sums(_plays(spark, d)).select("season", "cutoff", "play_class", "offense", "defense", r("w"), r("w_epa"), "n")
+    return ratings.decayed_sums(_rated_plays(spark, d)).select("season", "cutoff", "play_class", "offense", "defense", r("w"), r("w_epa"), "n")
 
 
 @query(f"WITH {DECAYED}, o AS (SELECT season, cutoff, play_class, offense AS team, CAST(sum(n) AS BIGINT) AS off_plays FROM dec GROUP BY ALL), e AS (SELECT season, cutoff, play_class, defense AS team, CAST(sum(n) AS BIGINT) AS def_plays FROM dec GROUP BY ALL) SELECT season, cutoff, play_class, team, coalesce(off_plays, 0) AS off_plays, coalesce(def_plays, 0) AS def_plays, coalesce(off_plays, 0) >= 120 AND coalesce(def_plays, 0) >= 120 AS confident FROM o FULL JOIN e USING (season, cutoff, play_class, team)")
 def unit_play_counts(spark: SparkSession, d: str) -> DataFrame:
-    cells = ratings.decayed_sums(_plays(spark, d))
+    cells = ratings.decayed_sums(_rated_plays(spark, d))
     key = ["season", "cutoff", "play_class", "team"]
     unit = lambda side, o: F.struct(F.col(side).alias("team"), F.lit(o).alias("o"))
     both = cells.select("season", "cutoff", "play_class", "n", F.explode(F.array(unit("offense", 1), unit("defense", 0))).alias("s"))
@@ -148,7 +153,7 @@ SIMPLE = f"{DECAYED}, sr AS (SELECT season, cutoff AS week, play_class, offense
 
 
 def _simple(spark: SparkSession, d: str) -> DataFrame:
-    cells = ratings.decayed_sums(_plays(spark, d))
+    cells = ratings.decayed_sums(_rated_plays(spark, d))
     return cells.groupBy("season", F.col("cutoff").alias("week"), "play_class", F.col("offense").alias("team")).agg((F.sum("w_epa") / F.sum("w")).alias("off_rating"), F.lit(0.0).alias("def_rating"), F.sum("n").alias("off_plays"), F.sum("n").alias("def_plays"))
 
 

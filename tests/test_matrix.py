@@ -120,3 +120,44 @@ def test_correlation_of_what_never_varies(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 3.0), (3.0, 6.0, 3.0), (9.0, None, 3.0)], "x double, y double, k double")
     got = rows.agg(correlation("x", "y").alias("xy"), correlation("x", "k").alias("xk")).first()
     assert got.xy == pytest.approx(1.0) and got.xk is None
+
+
+def test_market_equals_the_general_consensus(spark, games):
+    from linework.operators.consensus import fair_prices
+    from linework.operators.grading import closing_quotes
+
+    more = [
+        (1, "h2h", "", "home", 0.0, "soft", 105, at("2020-09-05 12:00"), 3), (1, "h2h", "", "away", 0.0, "soft", -120, at("2020-09-05 13:00"), 1),  # the higher price of one time and seq; a later one
+        (1, "h2h", "", "home", 0.0, "broken", -5000, at("2020-09-05 12:00"), 5), (1, "h2h", "", "away", 0.0, "broken", -5000, at("2020-09-05 12:00"), 6),
+        (1, "h2h", "", "home", 0.0, "alone", 100, at("2020-09-05 12:00"), 7), (1, "h2h", "someone", "home", 0.0, "pinnacle", 900, at("2020-09-06 12:00"), 9),
+        (2, "h2h", "", "home", 0.0, "alone", 100, at("2020-09-05 12:00"), 7), (4, "spreads", "", "home", -1.0, "soft", 100, at("2020-09-05 12:00"), 7),
+    ]
+    rows = quotes(spark, more)
+    money = closing_quotes(rows.filter("market_type = 'h2h'"), games)
+    for method in ("multiplicative", "power", "shin"):
+        fair = {r.game_id: r for r in fair_prices(money, sharp=("pinnacle",), method=method).filter("side = 'home' and player_id = ''").collect()}
+        got = {r.game_id: r for r in features.game_market(rows, games, method=method).collect()}
+        assert set(fair) == {1} and set(got) == {1, 4}
+        assert got[1].market_home_prob == pytest.approx(fair[1].fair_prob) and got[1].sharp_soft_delta == pytest.approx(fair[1].sharp_prob - fair[1].fair_prob)
+        assert got[4].market_home_prob is None and got[4].book_dispersion == 0.0
+
+
+def test_quotes_are_shuffled_once_and_plays_read_once(spark, games, small, capsys):
+    from linework.operators import ratings
+    from linework.sources.fixtures import view
+
+    features.game_market(view(spark, small, "fx_quote_obs"), games).explain()
+    market = capsys.readouterr().out
+    assert market.count("FileScan parquet") == 1
+    ratings.decayed_sums(view(spark, small, "fx_plays")).explain()
+    plays = capsys.readouterr().out
+    assert plays.count("FileScan parquet") == 1 and "isnotnull(concat" not in plays
+
+
+def test_cells_of_unknown_units_or_seasons_count_for_nothing(spark):
+    from linework.operators import ratings
+
+    rows = [(2020, 1, "A", "B", "pass", 1.0), (2020, 1, "A", "B", "rush", 3.0), (2020, 2, "B", "A", "pass", 1.0), (2020, 5, None, "A", "pass", 1.0), (2020, 1, "A", None, "pass", 9.0), (None, 1, "A", "B", "pass", 9.0), (None, 2, "A", "B", "pass", 9.0)]
+    got = ratings.decayed_sums(spark.createDataFrame(rows, "season int, week int, offense string, defense string, play_class string, epa double"), 0.5)
+    assert sorted((r.season, r.cutoff, r.play_class, r.offense, r.defense, r.w, r.w_epa, r.n) for r in got.collect()) == [
+        (2020, 2, "all", "A", "B", 1.0, 2.0, 2), (2020, 2, "pass", "A", "B", 0.5, 0.5, 1), (2020, 2, "rush", "A", "B", 0.5, 1.5, 1)]
