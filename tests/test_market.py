@@ -271,3 +271,44 @@ def test_quotes_and_shuffles_are_made_once(spark, small, monkeypatch):
         assert query(spark, small).count() and made == ["current_quotes"]
     plan = market.closing_lines(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan  # the quotes are read from the written table
+
+
+def test_funnel_is_of_games_ahead_down_to_picks(spark, monkeypatch):
+    """Every stage is of the same games; one-sided, broken, rejected and withdrawn ones are beside; a kind with nothing ahead has zeros."""
+    from linework.plans import market
+
+    def q(game, kind, side, book, price, day=1, line=0.0):
+        return (game, kind, "", side, line, f"book{book}", price, f"2001-06-0{day} 00:00:00", len(seen))
+
+    seen = []
+    for game in (1, 2):  # the second has begun; its own totals are all there is of them
+        seen += [q(game, kind, side, b, -110) for kind, sides in (("h2h", ("home", "away")), ("totals", ("over", "under"))) if kind == "h2h" or game == 2 for b in (1, 2, 4, 5) for side in sides]
+        seen += [q(game, "h2h", "home", 7, 125, 3 * game)] + [q(game, "h2h", side, 9, -10000) for side in ("home", "away")]
+    seen += [q(4, "h2h", side, b, 300 if (b, side) == (1, "home") else -110) for b in (1, 2, 4, 5) for side in ("home", "away")]
+    seen += [q(3, "spreads", "home", 1, -110, line=-3.0)]
+    games = [(1, "2001-09-01 00:00:00"), (2, "2001-07-01 00:00:00"), (3, None), (4, "2001-09-02 00:00:00")]
+    picked = [(1, "h2h", 1), (1, "h2h", 0), (2, "h2h", 1), (2, "totals", 1), (3, "spreads", 1)]
+    frames = {
+        "fx_quote_obs": spark.createDataFrame(seen, "game_id long, market_type string, player_id string, side string, line double, book string, price int, observed_at string, seq long").withColumn("observed_at", F.col("observed_at").cast("timestamp")),
+        "fx_games": spark.createDataFrame(games, "game_id long, kickoff_utc string").withColumn("kickoff_utc", F.col("kickoff_utc").cast("timestamp")),
+        "fx_picks": spark.createDataFrame(picked, "game_id long, market_type string, published int"),
+    }
+    monkeypatch.setattr(market, "view", lambda _spark, _d, name: frames[name])
+    rows = market.market_funnel(spark, "").collect()
+    got = {(r.market_type, r.stage): (r.n, r.beside) for r in rows}
+    curve = [f"6 edge {c:g}" for c in shop.CURVE]
+    stages = ["0 games", "1 quotes", "2 pairs", "3 plausible", "4 fair", "5 bettable", *curve, "7 opportunities", "8 picks"]
+    assert sorted(got) == sorted((kind, stage) for kind in ("h2h", "spreads", "totals") for stage in stages) and len(rows) == len(got)
+    assert [got["h2h", s] for s in stages] == [(3, None), (19, None), (9, 1), (8, 1), (4, None), (3, 1), *[(1, None)] * len(curve), (1, None), (1, 1)]
+    assert [got["spreads", s] for s in stages] == [(3, None), (1, None), (0, 1), (0, 0), (0, None), (0, 0), *[(0, None)] * len(curve), (0, None), (1, 0)]
+    assert [got["totals", s] for s in stages] == [(3, None), (0, None), (0, 0), (0, 0), (0, None), (0, 0), *[(0, None)] * len(curve), (0, None), (0, 0)]
+    assert sorted((r.market_type, r.stage) for r in rows if r.first_zero) == [("spreads", "2 pairs"), ("totals", "1 quotes")]
+    assert {(r.market_type, r.stage): (r.books, r.median_books) for r in rows if r.books} == {("h2h", "1 quotes"): (6, None), ("spreads", "1 quotes"): (1, None), ("h2h", "4 fair"): (4, 4), ("h2h", "5 bettable"): (4, 4)}
+    assert {(r.market_type, r.latest) for r in rows if r.latest} == {("h2h", "2001-06-03 00:00:00"), ("spreads", "2001-06-01 00:00:00")}
+
+
+def test_median_of_books_is_that_of_the_rank(spark):
+    counts = {"a": [7, 5, 5, 3], "b": [9, 2], "c": [4]}
+    sides = spark.createDataFrame([(k, b, v.count(b)) for k, v in counts.items() for b in {*v, 1}], "market_type string, book_count long, n long")
+    got = {r.market_type: (r.x_books, r.x_middle) for r in shop._by_books(sides, "x").collect()}
+    assert got == {k: (max(v), sorted(v, reverse=True)[len(v) // 2]) for k, v in counts.items()}
